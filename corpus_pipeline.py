@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimark.llm import decontam, exact_dedup, mixing, quality
+from sedimark.llm import decontam, exact_dedup, jaccard, mixing, quality
 from sedimark.llm.registry import quality_model
 from sedimark.storage import staged, table
 
@@ -23,6 +23,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.first_copies(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    return jaccard.one_per_component(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
@@ -36,6 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("quality classifier", quality_stage),
     ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
     ("benchmark decontamination", decontamination_stage),
     ("mixing", mixing_stage),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import archives, decontam, exact_dedup, jaccard, langid, mixing, quality, sampling, token_counts, toxicity
+from sedimark.llm import archives, decontam, exact_dedup, jaccard, langid, mixing, quality, sampling, suffix_dedup, token_counts, toxicity
 from sedimark.storage import table
 
 QUALITY_HELD_OUT = (4, 2)
@@ -69,6 +69,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit_language(_training(docs, LANGUAGE_HELD_OUT))
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_web_archives,
         op6_toxicity,
         op7_source_mix,
+        op8_suffix_dedup,
         op9_language_id,
         op10_benchmark_decontamination,
     ]

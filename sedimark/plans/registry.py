@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from sedimark.plans import code_index
+
 
 def queries() -> dict:
-    return {}
+    return dict(code_index.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(code_index.SQL)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from sedimark.plans import code_index
+from sedimark.plans import code_index, log_plans, text_plans
+
+_PLANS = (code_index, text_plans, log_plans)
 
 
 def queries() -> dict:
-    return dict(code_index.QUERIES)
+    return {name: f for plans in _PLANS for name, f in plans.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(code_index.SQL)
+    return {name: sql for plans in _PLANS for name, sql in plans.SQL.items()}

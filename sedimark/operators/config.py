@@ -1,7 +1,7 @@
 """Hierarchical configuration: flattening, schema, last-wins merge, conflicts and checks.
 
 JSON goes through VARIANT: a document is flattened level by level with ``variant_explode``, each level
-one pass over what is still nested, down to ``max_depth``.
+one pass over what is still nested, down to ``max_depth``. Empty objects and arrays are leaves.
 """
 
 from __future__ import annotations
@@ -26,17 +26,17 @@ def flatten(documents: DataFrame, max_depth: int = 8) -> DataFrame:
     leaves = []
     for depth in range(max_depth + 1):
         kinds = level.withColumn("kind", F.schema_of_variant("v"))
-        nested = F.col("kind").rlike("^(OBJECT|ARRAY)<.")
+        nested = F.col("kind").rlike("^(OBJECT|ARRAY)<[^>]")
         if depth < max_depth:
             leaves.append(kinds.filter(~nested))
-            level = kinds.filter(nested).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "k", "child"))
+            level = kinds.filter(nested).lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()).toDF("pos", "k", "child"))
             level = level.select("doc", F.concat_ws(":", "key", F.coalesce("k", F.col("pos").cast("string"))).alias("key"), F.col("child").alias("v"))
         else:
             leaves.append(kinds)
     out = reduce(DataFrame.unionByName, leaves)
     names = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])
     named = F.coalesce(names[F.col("kind")], F.when(F.col("kind").startswith("DECIMAL(") & F.col("kind").endswith(",0)"), "integer")
-                       .when(F.col("kind").startswith("DECIMAL"), "number").when(F.col("kind").startswith("ARRAY"), "array").otherwise("object"))
+                       .when(F.col("kind").startswith("DECIMAL"), "number").when(F.col("kind").isNull() | F.col("kind").startswith("ARRAY"), "array").otherwise("object"))
     return out.select("doc", F.coalesce("key", F.lit("")).alias("key"), F.col("v").cast("string").alias("value"), named.alias("kind"))
 
 

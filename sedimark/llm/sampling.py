@@ -37,6 +37,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
 
 
 SIGNATURES = 4
+_MULTIPLIERS = [0x9E3779B97F4A7C15 + 0x632BE59BD9B4E01A * k for k in range(SIGNATURES)]
 
 
 def without_copies(sample: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def without_copies(sample: DataFrame) -> DataFrame:
                 words = text.split()
                 shingles = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
                 hashes = [xxhash.xxh3_64_intdigest(s) for s in shingles]
-                out.append([min((h * (2 * k + 1) ^ h >> 17 * k) & (1 << 63) - 1 for h in hashes) for k in range(SIGNATURES)])
+                out.append([min(h * m >> 20 & (1 << 63) - 1 for h in hashes) for m in _MULTIPLIERS])
             yield pa.RecordBatch.from_arrays([b["_order"], pa.array(out, pa.list_(pa.int64()))], ["_order", "signs"])
 
     rows = sample.mapInArrow(sign, "_order long, signs array<long>").collect()

@@ -7,8 +7,8 @@ the weights of the matches over log2(2 + words), passed through a logistic whose
 parameters.
 
 ``fit_lexicon`` learns entries from a bounded sample of labelled rows: words and beginnings of words whose
-log odds of occurring in a toxic row reach ``min_weight``. Entries are taken by falling weight; what an entry
-covers, or would cover it, is not taken again. Near copies in the sample count once. Exception phrases are the words of clean rows that an entry would match.
+log odds of occurring in a toxic row reach ``min_weight``. Entries are taken by the number of toxic rows they are
+in; what an entry covers, or would cover it, is not taken again. Near copies in the sample count once. Exception phrases are the words of clean rows that an entry would match.
 
 Cases: null and empty texts have no match and get the score of none. Without labelled rows the lexicon is
 empty. Repeated rows get a row each; extra columns are ignored. Texts are matched whole.
@@ -32,7 +32,7 @@ from sedimark.storage import staged
 MAX_TRAIN_ROWS = 16_000
 MIN_WEIGHT = 4.0
 MIN_ROWS = 4
-MIN_PREFIX, MAX_PREFIX = 4, 8
+MIN_PREFIX, MAX_PREFIX = 3, 8
 MAX_ENTRIES = 20_000
 CENTRE, SLOPE = 0.16, 14.0
 
@@ -142,9 +142,10 @@ def fit_lexicon(
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     telling = terms.filter((F.col("term") != "") & (F.col("toxic") >= min_rows)).withColumn("weight", weight)
     telling = telling.filter(F.col("weight") >= min_weight).orderBy(F.desc("weight"), "term").limit(max_entries)
-    rows = {r["term"]: r["weight"] for r in telling.collect()}
+    found = telling.collect()
+    rows, seen = {r["term"]: r["weight"] for r in found}, {r["term"]: r["toxic"] for r in found}
     lexicon: dict[str, float] = {}
-    for term in sorted(rows, key=lambda t: (-rows[t], len(t), t)):
+    for term in sorted(rows, key=lambda t: (-seen[t], -rows[t], -len(t), t)):
         body = term.rstrip("*")
         covered = any(body[:n] + "*" in lexicon for n in range(MIN_PREFIX, len(body) + 1))
         covers = term.endswith("*") and any(t.startswith(body) for t in lexicon)

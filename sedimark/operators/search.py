@@ -39,9 +39,7 @@ def select_files(files: DataFrame, include: str | None = None, exclude: str | No
 def looks_binary(path: Column, content: Column) -> Column:
     """A binary extension, a zero byte in the first 512, or no content to read."""
     extension = F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1)).isin(list(BINARY_EXTENSIONS))
-    return extension | content.isNull() | (F.instr(F.hex(F.substring(content, 1, 512)), "00") % 2 == 1) & F.hex(
-        F.substring(content, 1, 512)
-    ).rlike("^(..)*?00")
+    return extension | content.isNull() | F.hex(F.substring(content, 1, 512)).rlike("^(..)*?00")
 
 
 def line_range(files: DataFrame, first: int, last: int) -> DataFrame:

@@ -291,7 +291,7 @@ def test_toxicity_folds_and_excepts():
 
 def test_copies_do_not_vote_twice(spark):
     text = " ".join(f"w{k}" for k in range(60))
-    rows = [(k, text if k < 4 else f"{k} other text of its own with words", 1) for k in range(6)]
+    rows = [(k, text if k < 4 else " ".join(f"own{k}of{j}" for j in range(9)), 1) for k in range(6)]
     sample = spark.createDataFrame(rows, "_order long, text string, label int")
     assert sorted(r["_order"] for r in sampling.without_copies(sample).collect()) == [0, 4, 5]
 

@@ -104,6 +104,12 @@ def test_file_selection(spark):
     assert found(search.select_files(f, exclude="*.cs"), "path") == [("src/c.txt",)]
 
 
+def test_binary_sniff(spark):
+    rows = [("a.PNG", b"x"), ("b", b"\x10\x01"), ("c", b"a\x00"), ("d", None), ("e", b"x" * 600 + b"\x00"), ("f", b"")]
+    f = spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in rows], "path string, content binary")
+    assert found(f.filter(search.looks_binary(F.col("path"), F.col("content"))), "path") == [("a.PNG",), ("c",), ("d",)]
+
+
 def test_edits(spark):
     f = texts(spark, [("a", "0123456789"), ("b", "x")])
     e = spark.createDataFrame([("a", 0, 1, "A"), ("a", 5, 5, "+")], "path string, start int, end int, new string")

@@ -14,6 +14,10 @@ expanded breadth first, one byte to the left at a time, and the boundary of an i
 prefix length l gets the value l, by increasing value. Expansion stops at ``length``: boundaries still without a
 value separate suffixes that share at least that much. Windows in such a run are repeated.
 
+Where more than ``HOT`` pieces share an anchor (a passage in many different surroundings), they are thinned
+before that: windows whose digest is theirs alone cannot repeat, and of windows with one digest two go on to the
+suffix array, whose verdict holds for all of them.
+
 Texts are known by two 64-bit hashes, so copies of a text share their pieces' fate; a text that occurs twice
 enters its pieces twice. One document per different text gives the bytes of the pieces.
 
@@ -25,6 +29,7 @@ columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +43,8 @@ from sedimark.storage import staged
 LENGTH = 400
 GRAM = 24
 MAX_PERIOD = 12
-CHUNK = 1 << 20
+CHUNK = 3 << 18
+HOT = 256
 TEXT_CHUNK = 1 << 19
 FIRST = 8
 _POSITION_BITS = 24
@@ -116,7 +122,8 @@ def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     order = np.argsort(words, kind="stable")
     first = words[order]
     start = np.concatenate(([True], first[1:] != first[:-1]))
-    rank = np.empty(n, np.int64)
+    order = order.astype(np.int32)
+    rank = np.empty(n, np.int32)
     rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
     h = FIRST
     while h < length:
@@ -127,7 +134,7 @@ def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
         at = order[places]
         later = at + h
         second = np.where(later < n, rank[np.minimum(later, n - 1)] + 1, 0)
-        key = rank[at] * (n + 1) + second
+        key = rank[at].astype(np.int64) * (n + 1) + second
         by = np.argsort(key, kind="stable")
         order[places] = at[by]
         key = key[by]
@@ -146,8 +153,8 @@ def shared_to_next(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     n = len(text)
     order, first = suffix_order(text, length)
     before = text[order - 1]
-    back = np.empty(n, np.int64)  # last-to-first mapping
-    back[np.argsort(before, kind="stable")] = np.arange(n)
+    back = np.empty(n, np.int32)  # last-to-first mapping
+    back[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
     # Prefix lengths under eight are read off the sorted first words, the rest by expansion from there.
     known = np.ones(n + 1, bool)
     known[1:n] = first[1:] != first[:-1]
@@ -193,6 +200,53 @@ def repeated_windows(pieces: list[bytes], length: int) -> list[np.ndarray]:
     return [flags[b : b + len(p) - length + 1] for b, p in zip(bases, pieces)]
 
 
+_BASE = 0x9E3779B97F4A7C15  # odd
+
+
+def window_digests(piece: bytes, length: int) -> np.ndarray:
+    """A 64-bit digest of every window of a piece; equal windows have equal digests wherever they stand."""
+    n = len(piece)
+    powers = np.cumprod(np.full(n + 1, _BASE, np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((np.frombuffer(piece, np.uint8).astype(np.uint64) + np.uint64(1)) * powers[:n])))
+    start = np.arange(n - length + 1)
+    inverse = np.uint64(pow(_BASE, -1, 1 << 64))
+    down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(start) - 1, inverse, np.uint64))))
+    d = (sums[start + length] - sums[start]) * down
+    return (d ^ (d >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+
+
+def thinned_windows(pieces: list[bytes], times: list[int], length: int) -> list[np.ndarray]:
+    """``repeated_windows`` of many pieces that overlap little: only two windows of each digest are compared."""
+    digests = [window_digests(p, length) for p in pieces]
+    sizes = np.array([len(d) for d in digests])
+    flat = np.concatenate(digests)
+    weight = np.repeat(np.array(times), sizes)
+    order = np.argsort(flat, kind="stable")
+    ordered, w = flat[order], weight[order]
+    start = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    group = np.cumsum(start) - 1
+    several = np.bincount(group, weights=w) >= 2
+    total = np.cumsum(w)
+    first = np.flatnonzero(start)
+    ahead = total - w - (total - w)[first][group]  # instances of the digest before this one
+    chosen = np.zeros(len(flat), bool)
+    chosen[order] = several[group] & (ahead < 2)
+    cuts, where = [], []
+    bases = np.cumsum(sizes) - sizes
+    for k, (p, base) in enumerate(zip(pieces, bases)):
+        for s, e in runs_of(chosen[base : base + sizes[k]]).tolist():
+            for _ in range(min(times[k], 2)):
+                cuts.append(p[s : e + length - 1])
+                where.append(int(base) + s)
+    true = np.zeros(len(first), bool)
+    number = np.empty(len(flat), np.int64)
+    number[order] = group
+    for flags, at in zip(repeated_windows(cuts, length) if cuts else (), where):
+        true[number[at : at + len(flags)][flags]] = True
+    out = true[number]
+    return [out[b : b + n] for b, n in zip(bases, sizes)]
+
+
 def runs_of(flags: np.ndarray) -> np.ndarray:
     """Runs of true flags as an array of (start, end)."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
@@ -296,17 +350,22 @@ def _verdicts(carriers: DataFrame, length: int) -> DataFrame:
         chunk: list[tuple] = []
 
         def judge() -> pa.RecordBatch:
-            instances = [k for k, r in enumerate(chunk) for _ in range(r[2])]
-            flags = repeated_windows([chunk[k][3] for k in instances], length)
+            if chunk[0][0] == chunk[-1][0] and len(chunk) > HOT:
+                instances = range(len(chunk))
+                flags = thinned_windows([r[3] for r in chunk], [r[2] for r in chunk], length)
+            else:
+                instances = [k for k, r in enumerate(chunk) for _ in range(r[2])]
+                flags = repeated_windows([chunk[k][3] for k in instances], length)
             got = {chunk[k][:2]: runs_of(f).tobytes() for k, f in zip(instances, flags)}
             got = {k: v for k, v in got.items() if v}
             return pa.RecordBatch.from_arrays(
                 [pa.array([k[c] for k in got], pa.int64()) for c in (0, 1)] + [pa.array(list(got.values()), pa.binary())], ["anchor", "bytes", "runs"]
             )
 
+        sizes = Counter(r[0] for r in rows)
         size = 0
         for r in rows:
-            if chunk and size >= CHUNK and chunk[-1][0] != r[0]:
+            if chunk and chunk[-1][0] != r[0] and (size >= CHUNK or sizes[r[0]] > HOT or sizes[chunk[-1][0]] > HOT):
                 yield judge()
                 chunk, size = [], 0
             chunk.append(r)

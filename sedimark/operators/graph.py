@@ -6,11 +6,16 @@ lineage stays short. Frontiers carry nodes (or paths where paths are asked for),
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.storage import staged
 
+WORDS = 8
+
 
 def _directed(edges: DataFrame, direction: str) -> DataFrame:
     a, b = ("src", "dst") if direction == "forward" else ("dst", "src")
@@ -181,17 +186,37 @@ def two_hop(edges: DataFrame) -> DataFrame:
     return first.join(second, "via").filter("src <> dst").join(e, ["src", "dst"], "left_anti").select("src", "via", "dst")
 
 
-def mean_path_length(edges: DataFrame, sources: DataFrame, max_depth: int = 50) -> DataFrame:
-    """Mean fewest steps over ordered pairs (source, other reachable node)."""
-    step = _directed(edges, "forward")
-    seen = frontier = staged(sources.select(F.col("node").alias("origin"), "node", F.lit(0).alias("depth")).distinct(), "apl")
-    for depth in range(1, max_depth + 1):
-        met = frontier.join(step, frontier["node"] == step["src"]).select("origin", F.col("dst").alias("node")).distinct()
-        frontier = staged(met.join(seen, ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)), "apl")
+def mean_path_length(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Mean fewest steps over ordered pairs (source, other reachable node).
+
+    Sources are numbered and searched from together: a row stands for a node and a block of ``64 * WORDS`` sources,
+    whose bits say from which of them the node is reached.
+    """
+    words = [f"w{k}" for k in range(WORDS)]
+    step = staged(_directed(edges, "forward"), "apl")
+    numbered = staged(sources.select("node").distinct().withColumn("n", F.monotonically_increasing_id()), "apl")
+    bit = F.col("n") % (64 * WORDS)
+    own = [F.when(F.floor(bit / 64) == k, F.expr(f"shiftleft(1L, cast(n % {64 * WORDS} - {64 * k} as int))")).otherwise(F.lit(0).cast("long")).alias(w) for k, w in enumerate(words)]
+    frontier = seen = staged(numbered.select("node", F.floor(F.col("n") / (64 * WORDS)).alias("block"), *own), "apl")
+    found = None
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        met = frontier.join(step, frontier["node"] == step["src"]).groupBy(F.col("dst").alias("node"), "block").agg(*(F.bit_or(w).alias(w) for w in words))
+        old = seen.select("node", "block", *(F.col(w).alias(f"old_{w}") for w in words))
+        fresh = [F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"old_{w}", F.lit(0).cast("long")))).alias(w) for w in words]
+        new = met.join(old, ["node", "block"], "left").select("node", "block", *fresh)
+        frontier = staged(new.filter(" or ".join(f"{w} <> 0" for w in words)), "apl")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen.filter("depth > 0").agg(F.count(F.lit(1)).alias("pairs"), F.avg("depth").alias("mean_length"), F.max("depth").alias("longest"))
+        pairs = frontier.select(F.lit(depth).alias("depth"), reduce(add, (F.bit_count(w).cast("long") for w in words)).alias("n"))
+        found = pairs if found is None else found.unionByName(pairs)
+        both = seen.unionByName(frontier).groupBy("node", "block").agg(*(F.bit_or(w).alias(w) for w in words))
+        seen = staged(both, "apl")
+    if found is None:
+        found = frontier.filter(F.lit(False)).select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("n"))
+    pairs = F.coalesce(F.sum("n"), F.lit(0))
+    return found.agg(pairs.alias("pairs"), (F.sum(F.col("depth") * F.col("n")) / F.sum("n")).alias("mean_length"), F.max("depth").alias("longest"))
 
 
 def assign_layer(name: Column, layers: list[tuple[str, int, str]]) -> Column:

@@ -252,19 +252,13 @@ def recursive_calls(spark, sf):
     return graph.cycles(_edges(spark, sf), 1).select(F.col("path")[0].alias("node"))
 
 
-def _sparse(spark, sf):
-    """A sparse part of the graph: references of one kind in long orders, so that not all is one component."""
-    r = references(spark, sf).filter("kind = 'R' and line = 1")
-    return r.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
-
-
 SPARSE = f"{R}, e AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM refs WHERE kind = 'R' AND line = 1)"
 
 
 @query(f"""WITH RECURSIVE {SPARSE}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)
 SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a HAVING max(x.b) <> min(x.b)""")
 def strongly_connected(spark, sf):
-    return graph.strong_components(_sparse(spark, sf))
+    return graph.strong_components(_edges(spark, sf))
 
 
 @query(f"""WITH RECURSIVE {SPARSE}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
@@ -272,7 +266,7 @@ r AS (SELECT a, a AS b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b)
 def dependency_components(spark, sf):
     from sedimark.operators.components import connected_components
 
-    return connected_components(_sparse(spark, sf))
+    return connected_components(_edges(spark, sf))
 
 
 @query(f"""WITH {S}, {E}, d AS (SELECT s.id AS node, (SELECT count(*) FROM e WHERE dst = s.id) AS i, (SELECT count(*) FROM e WHERE src = s.id) AS o FROM symbols s)
@@ -292,46 +286,46 @@ def call_graph_metrics(spark, sf):
 
 @query(f"WITH {S}, {SPARSE} SELECT id AS node FROM symbols WHERE id NOT IN (SELECT dst FROM e)")
 def entry_points(spark, sf):
-    return graph.entry_points(_sparse(spark, sf), _nodes(spark, sf))
+    return graph.entry_points(_edges(spark, sf), _nodes(spark, sf))
 
 
 @query(f"WITH {S}, {SPARSE} SELECT id AS node FROM symbols WHERE id NOT IN (SELECT src FROM e)")
 def leaf_methods(spark, sf):
-    return graph.leaves(_sparse(spark, sf), _nodes(spark, sf))
+    return graph.leaves(_edges(spark, sf), _nodes(spark, sf))
 
 
 @query(f"""WITH RECURSIVE {S}, {SPARSE}, r AS (SELECT CAST(unnest([1, 2, 3, 4, 5]) AS BIGINT) AS node UNION SELECT e.dst FROM r JOIN e ON e.src = r.node)
 SELECT id AS node FROM symbols WHERE id NOT IN (SELECT node FROM r)""")
 def unreachable_methods(spark, sf):
     start = spark.createDataFrame([(k,) for k in range(1, 6)], "node long")
-    found = graph.reachable(_sparse(spark, sf), start, "forward", 100_000)
+    found = graph.reachable(_edges(spark, sf), start, "forward", 100_000)
     return _nodes(spark, sf).join(found.select("node"), "node", "left_anti")
 
 
 @query(f"WITH {S}, {SPARSE} SELECT dst AS node, count(*) AS uses FROM e JOIN symbols s ON s.id = e.src GROUP BY dst HAVING bool_and(s.namespace IN ('PROMO', 'ECONOMY', 'STANDARD'))")
 def test_only_methods(spark, sf):
     tests = symbols(spark, sf).filter("namespace in ('PROMO', 'ECONOMY', 'STANDARD')").select(F.col("id").alias("node"))
-    return graph.only_used_by(_sparse(spark, sf).distinct(), tests)
+    return graph.only_used_by(_edges(spark, sf).distinct(), tests)
 
 
 @query(f"""WITH {SPARSE} SELECT a.src, a.dst AS via, b.dst FROM e a JOIN e b ON b.src = a.dst WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM e x WHERE x.src = a.src AND x.dst = b.dst)""")
 def indirect_callers(spark, sf):
-    return graph.two_hop(_sparse(spark, sf)).select("src", "via", "dst")
+    return graph.two_hop(_edges(spark, sf)).select("src", "via", "dst")
 
 
 @query(f"""WITH RECURSIVE {SPARSE}, c AS (SELECT src AS origin, src AS node, 0 AS depth FROM e WHERE src % 20 = 0 UNION SELECT c.origin, e.dst, c.depth + 1 FROM c JOIN e ON e.src = c.node WHERE c.depth < 12),
 m AS (SELECT origin, node, min(depth) AS d FROM c GROUP BY 1, 2)
 SELECT count(*) AS pairs, round(avg(d), 6) AS mean_length, max(d) AS longest FROM m WHERE d > 0""")
 def average_path_length(spark, sf):
-    e = _sparse(spark, sf)
-    found = graph.mean_path_length(e, e.filter("src % 20 = 0").select(F.col("src").alias("node")), 12)
+    e = _edges(spark, sf)
+    found = graph.mean_path_length(e, e.select(F.col("src").alias("node")))
     return found.withColumn("mean_length", F.round("mean_length", 6))
 
 
 @query(f"""WITH {SPARSE}, d AS (SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node)
 SELECT node, in_degree, out_degree FROM d ORDER BY in_degree + out_degree DESC, node LIMIT 5""")
 def critical_nodes(spark, sf):
-    e = _sparse(spark, sf)
+    e = _edges(spark, sf)
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst"))
     d = graph.degrees(e, nodes).select("node", "in_degree", "out_degree", (F.col("in_degree") + F.col("out_degree")).alias("total"))
     return usage.top(d, "total", "node", 5).drop("total")
@@ -402,14 +396,14 @@ def call_patterns(spark, sf):
 
 @query(f"WITH {S}, {SPARSE} SELECT id, name, kind FROM symbols WHERE id NOT IN (SELECT dst FROM e)")
 def unused_methods(spark, sf):
-    used = _sparse(spark, sf).select(F.col("dst").alias("to_id"))
+    used = _edges(spark, sf).select(F.col("dst").alias("to_id"))
     return usage.unused(symbols(spark, sf), used).select("id", "name", "kind")
 
 
 @query(f"""WITH {S}, {SPARSE}, u AS (SELECT s.id, count(e.dst) AS n FROM symbols s LEFT JOIN e ON e.dst = s.id GROUP BY s.id)
 SELECT count(*) FILTER (n = 0) AS unused, count(*) FILTER (n = 1) AS used_once, count(*) AS symbols FROM u""")
 def refactoring_opportunities(spark, sf):
-    return usage.opportunities(symbols(spark, sf), _sparse(spark, sf).distinct().select(F.col("dst").alias("to_id")))
+    return usage.opportunities(symbols(spark, sf), _edges(spark, sf).distinct().select(F.col("dst").alias("to_id")))
 
 
 @query(f"""WITH {S}, t AS (SELECT kind, id, name, row_number() OVER (PARTITION BY kind ORDER BY file_id DESC, id) AS place, count(*) OVER (PARTITION BY kind) - 3 AS more FROM symbols)

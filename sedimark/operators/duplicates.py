@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.functions.scoring import duplication_impact, impact_tier
-from sedimark.functions.text import structural_similarity
+from sedimark.functions.text import similarity, structural_similarity
 from sedimark.operators.components import connected_components
 from sedimark.storage import staged
 
@@ -50,6 +50,27 @@ def near_pairs(blocks: DataFrame, threshold: float = 0.8) -> DataFrame:
     return met.select("a", "b", (F.col("equal") / F.col("n_lines")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
+def similar_names(names: DataFrame) -> DataFrame:
+    """(a, b, similarity) of different names (name) with 1 - edit distance / longer length of at least 0.8, a before b.
+
+    The longer name has at least five characters an edit, so the shorter one of ``l`` characters takes at most ``l div 4``
+    edits. Cut into one segment more than that, it has a segment that no edit touches. Names meet on a segment of the
+    shorter one and an equal string of the longer one near the same place: with ``k = L div 5`` edits and lengths that
+    differ by ``g``, it has moved by ``-(k - g) / 2`` to ``(k + g) / 2``. No pair is lost.
+    """
+    one = names.select("name").filter("length(name) > 0").distinct()
+    short = one.withColumn("l", F.length("name")).withColumn("i", F.explode(F.expr("sequence(0, cast(l div 4 as int))")))
+    cut = {"s": F.expr("cast(i * l div (l div 4 + 1) as int)"), "e": F.expr("cast((i + 1) * l div (l div 4 + 1) as int)")}
+    short = short.withColumns(cut).select("l", "i", F.expr("substring(name, s + 1, e - s)").alias("piece"), F.col("name").alias("x"))
+    long = one.withColumns({"n": F.length("name"), "k": F.expr("cast(length(name) div 5 as int)")})
+    long = long.withColumn("l", F.explode(F.expr("sequence(n - k, n)"))).withColumn("i", F.explode(F.expr("sequence(0, cast(l div 4 as int))")))
+    moved = F.expr("sequence(cast(-((k - n + l) div 2) as int), cast((k + n - l) div 2 as int))")
+    long = long.withColumns(cut).withColumn("by", F.explode(moved)).filter("s + by >= 0 and e + by <= n")
+    long = long.select("l", "i", F.expr("substring(name, s + by + 1, e - s)").alias("piece"), F.col("name").alias("y"))
+    met = short.join(long, ["l", "i", "piece"]).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.select("a", "b", similarity(F.col("a"), F.col("b")).alias("similarity")).filter("similarity >= 0.8")
+
+
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """Blocks ``a`` against ``b`` by (pair_id, text): structural and combined similarity."""
     met = a.select("pair_id", F.col("text").alias("x")).join(b.select("pair_id", F.col("text").alias("y")), "pair_id")

@@ -168,10 +168,8 @@ def duplication_impact(spark, sf):
 @query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), s AS (SELECT a.name AS a, b.name AS b, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) AS similarity FROM n a JOIN n b ON a.name < b.name AND length(a.name) = length(b.name) AND right(a.name, 4) = right(b.name, 4))
 SELECT a, b, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.8""")
 def similar_methods(spark, sf):
-    n = table(spark, sf, "part").select(F.col("p_name").alias("a")).distinct().withColumns({"k": F.length("a"), "t": F.right("a", F.lit(4))})
-    met = n.join(n.withColumnRenamed("a", "b"), ["k", "t"]).filter("a < b")
-    s = text.similarity(F.col("a"), F.col("b"))
-    return met.select("a", "b", s.alias("similarity")).filter("similarity >= 0.8").withColumn("similarity", F.round("similarity", 6))
+    names = table(spark, sf, "part").select(F.col("p_name").alias("name"))
+    return duplicates.similar_names(names).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("""WITH p AS (SELECT doc_id AS k, text FROM documents WHERE doc_id % 2 = 0), q AS (SELECT doc_id - 1 AS k, text FROM documents WHERE doc_id % 2 = 1),

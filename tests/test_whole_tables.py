@@ -1,11 +1,12 @@
 """Queries that once looked at a part of their tables, against all rows."""
 
+import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from sedimark.operators import graph
+from sedimark.operators import duplicates, graph
 from sedimark.plans import registry
 from sedimark.sources.roles import REFERENCES_SQL
 from tests.conftest import SMALL
@@ -62,3 +63,25 @@ def test_mean_path_length_has_no_depth_bound_and_takes_many_sources(spark):
     assert (row["pairs"], round(row["mean_length"], 6), row["longest"]) == path_lengths(pairs)
     none = graph.mean_path_length(e, e.filter("src < 0").select(F.col("src").alias("node"))).collect()[0]
     assert tuple(none) == (0, None, None)
+
+
+def test_similar_methods_meet_at_any_edit(spark, con):
+    same(registry.queries()["similar_methods"](spark, SMALL), con, whole_sql("similar_methods", " AND length(a.name) = length(b.name) AND right(a.name, 4) = right(b.name, 4)"))
+
+
+def test_similar_names_against_all_pairs(spark, con):
+    rng = random.Random(1)
+    names = ["cold widget", "old widget", "cold plate", "old plate", "a", "b", "", None]
+    for _ in range(60):
+        base = [rng.choice("ab c") for _ in range(rng.randint(1, 30))]
+        names.append("".join(base))
+        for _ in range(3):
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(base) + 1)
+                base[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "c"])
+            names.append("".join(base))
+    made = duplicates.similar_names(spark.createDataFrame([(n,) for n in names], "name string"))
+    got = sorted((r["a"], r["b"]) for r in made.collect())
+    listed = ", ".join(f"('{n}')" for n in sorted({n for n in names if n}))
+    sql = f"SELECT a.n, b.n FROM (VALUES {listed}) a(n), (VALUES {listed}) b(n) WHERE a.n < b.n AND 5 * levenshtein(a.n, b.n) <= greatest(length(a.n), length(b.n))"
+    assert ("cold widget", "old widget") in got and got == sorted(con.sql(sql).fetchall())

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedimark.storage import staged
+
 
 def bulk_replace(files: DataFrame, pattern: str, replacement: str) -> DataFrame:
     """files with new_text, n_matches and changed; ``^`` and ``$`` match at line ends."""
@@ -51,12 +53,32 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     return files.join(listed, "path", "left").withColumn("new_text", F.coalesce(F.when(F.col("edits").isNotNull(), folded), F.col("text"))).drop("edits")
 
 
+def _overlaps(edits: DataFrame, *columns: str) -> DataFrame:
+    """Pairs a, b of edits of one file whose ranges overlap and a_id < b_id; touching counts.
+
+    Ranges meet in bins of their mean length, so a range lies in few bins; a pair counts in the bin where the later one starts.
+    """
+    mean = edits.agg(F.greatest(F.lit(1), F.ceil(F.avg(F.col("end") - F.col("start")))).cast("long").alias("width"))
+    bins = F.sequence(F.floor(F.col("start") / F.col("width")), F.floor(F.col("end") / F.col("width")))
+    binned = edits.join(F.broadcast(mean)).withColumn("bin", F.explode(bins))
+    a = binned.select("path", "bin", "width", *(F.col(c).alias(f"a_{c}") for c in ("id", "start", "end", *columns)))
+    b = binned.select("path", "bin", *(F.col(c).alias(f"b_{c}") for c in ("id", "start", "end", *columns)))
+    met = a.join(b, ["path", "bin"]).filter("a_id < b_id and a_start <= b_end and b_start <= a_end")
+    return met.filter(F.col("bin") == F.floor(F.greatest("a_start", "b_start") / F.col("width")))
+
+
 def conflicts(edits: DataFrame) -> DataFrame:
     """Pairs of edits (id, path, start, end) of one file whose ranges overlap; touching counts."""
-    a = edits.select("path", *(F.col(c).alias(f"a_{c}") for c in ("id", "start", "end")))
-    b = edits.select("path", *(F.col(c).alias(f"b_{c}") for c in ("id", "start", "end")))
-    met = a.join(b, "path").filter("a_id < b_id and a_start <= b_end and b_start <= a_end")
-    return met.select("path", "a_id", "b_id")
+    return _overlaps(edits).select("path", "a_id", "b_id")
+
+
+def conflict_counts(edits: DataFrame) -> DataFrame:
+    """(path, pairs): how many pairs ``conflicts`` has for each file. Edits of one range count together, not pair by pair."""
+    ranges = edits.groupBy("path", "start", "end").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.struct("start", "end"))
+    ranges = staged(ranges, "conflict-ranges")
+    across = _overlaps(ranges, "n").select("path", (F.col("a_n") * F.col("b_n")).alias("pairs"))
+    within = ranges.filter("start <= end and n > 1 and path is not null").select("path", F.expr("n * (n - 1) div 2").alias("pairs"))
+    return across.unionByName(within).groupBy("path").agg(F.sum("pairs").alias("pairs"))
 
 
 def preview(files: DataFrame, pattern: str) -> DataFrame:

@@ -245,13 +245,9 @@ CAST(epoch(l_shipdate) / 86400 AS INT) AS s FROM lineitem WHERE l_orderkey < 200
 
 @query(f"WITH {INTERVALS} SELECT a.path, count(*) AS pairs FROM i a JOIN i b ON a.path = b.path AND a.id < b.id AND a.s <= b.s + 30 AND b.s <= a.s + 30 GROUP BY a.path")
 def edit_conflicts(spark, sf):
-    from pyspark.sql import Window
-
-    li = table(spark, sf, "lineitem").filter("l_orderkey < 200")
-    w = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     start = F.unix_date(F.to_date("l_shipdate"))
-    e = li.select(F.row_number().over(w).alias("id"), F.col("l_suppkey").cast("string").alias("path"), start.alias("start"), (start + 30).alias("end"))
-    return edits.conflicts(e).groupBy("path").agg(F.count(F.lit(1)).alias("pairs"))
+    e = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("path"), start.alias("start"), (start + 30).alias("end"))
+    return edits.conflict_counts(e)
 
 
 @query(f"""WITH {FI}, s AS (SELECT octet_length(encode(text)) AS b, len(string_split(text, chr(10))) AS l FROM files)

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sedimark.operators import duplicates, graph
+from sedimark.operators import duplicates, edits, graph
 from sedimark.plans import registry
 from sedimark.sources.roles import REFERENCES_SQL
 from tests.conftest import SMALL
@@ -85,3 +85,18 @@ def test_similar_names_against_all_pairs(spark, con):
     listed = ", ".join(f"('{n}')" for n in sorted({n for n in names if n}))
     sql = f"SELECT a.n, b.n FROM (VALUES {listed}) a(n), (VALUES {listed}) b(n) WHERE a.n < b.n AND 5 * levenshtein(a.n, b.n) <= greatest(length(a.n), length(b.n))"
     assert ("cold widget", "old widget") in got and got == sorted(con.sql(sql).fetchall())
+
+
+def test_edit_conflicts_take_all_rows(spark, con):
+    same(registry.queries()["edit_conflicts"](spark, SMALL), con, whole_sql("edit_conflicts", " WHERE l_orderkey < 200"))
+
+
+def test_conflicts_against_all_pairs(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice(["p", "q", None]), s := rng.randint(-50, 200), s + rng.choice([0, 1, 5, 40, 300, -3])) for k in range(120)]
+    rows += [(200 + k, "p", 7, 9) for k in range(5)]
+    e = spark.createDataFrame(rows, "id long, path string, start int, end int")
+    pairs = sorted((p, i, j) for i, p, s, t in rows for j, q, u, v in rows if p is not None and p == q and i < j and s <= v and u <= t)
+    assert sorted(tuple(r) for r in edits.conflicts(e).collect()) == pairs
+    counts = {p: sum(x[0] == p for x in pairs) for p in ("p", "q")}
+    assert {r["path"]: r["pairs"] for r in edits.conflict_counts(e).collect()} == counts

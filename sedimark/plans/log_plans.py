@@ -153,6 +153,5 @@ def operations_by_type(spark, sf):
 @query(f"WITH {LOG} SELECT seq, name, op, table_name FROM log WHERE seq < 500")
 def parse_migrations(spark, sf):
     call = F.when(F.col("op").endswith("Table"), F.lit("name")).otherwise(F.lit("table"))
-    made = _log(spark, sf).filter("seq < 500")
-    files = made.select("seq", "name", F.format_string('m.%s( %s: "%s", x: "y");', "op", call, "table_name").alias("text"))
+    files = _log(spark, sf).select("seq", "name", F.format_string('m.%s( %s: "%s", x: "y");', "op", call, "table_name").alias("text"))
     return evolution.parse_steps(files)

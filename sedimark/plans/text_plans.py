@@ -215,7 +215,7 @@ def bulk_edit_summary(spark, sf):
 
 @query(f"WITH {FI}, m AS (SELECT path, regexp_extract_all(text, '{PATTERN}') AS m FROM files WHERE id < 50) SELECT path, CAST(unnest(generate_series(0, len(m) - 1)) AS INT) AS match_no, unnest(m) AS match_text FROM m")
 def preview_bulk_changes(spark, sf):
-    return edits.preview(files(spark, sf).filter("id < 50"), PATTERN)
+    return edits.preview(files(spark, sf), PATTERN)
 
 
 @query(f"""WITH {FI}, c AS (SELECT path, text, contains(text, 'License') AND octet_length(encode(text)) BETWEEN 100 AND 5000 AND NOT contains(path, 'src0/') AS e FROM files)

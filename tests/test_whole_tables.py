@@ -100,3 +100,11 @@ def test_conflicts_against_all_pairs(spark):
     assert sorted(tuple(r) for r in edits.conflicts(e).collect()) == pairs
     counts = {p: sum(x[0] == p for x in pairs) for p in ("p", "q")}
     assert {r["path"]: r["pairs"] for r in edits.conflict_counts(e).collect()} == counts
+
+
+def test_preview_bulk_changes_takes_all_documents(spark, con):
+    same(registry.queries()["preview_bulk_changes"](spark, SMALL), con, whole_sql("preview_bulk_changes", " WHERE id < 50"))
+
+
+def test_parse_migrations_takes_all_steps(spark, con):
+    same(registry.queries()["parse_migrations"](spark, SMALL), con, whole_sql("parse_migrations", " WHERE seq < 500"))

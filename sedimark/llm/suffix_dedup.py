@@ -88,6 +88,8 @@ def anchors(texts: list[bytes], length: int) -> list[tuple[int, int, int, int]]:
     span = length - GRAM + 1
     if len(buf) < length:
         return []
+    if len(buf) >= 1 << _POSITION_BITS:
+        raise ValueError(f"{len(buf)} bytes at once: positions have {_POSITION_BITS} bits")
     keys = gram_keys(buf)
     mask = np.uint64((1 << _POSITION_BITS) - 1)
     packed = (keys & ~mask) | np.arange(len(keys), dtype=np.uint64)
@@ -269,10 +271,10 @@ def _pieces(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         counts: dict[tuple[int, int], int] = {}
         rows: list[tuple] = []
 
-        def scan(group: list[tuple[int, int, bytes]]) -> None:
-            for t, at, n, anchor in anchors([g[2] for g in group], length):
-                u1, u2, text = group[t]
-                rows.append((_signed(anchor), _signed(xxhash.xxh3_64_intdigest(text[at : at + n + length - 1])), u1, u2, at, n, 1))
+        def scan(group: list[tuple[int, int, int, bytes]]) -> None:
+            for t, at, n, anchor in anchors([g[3] for g in group], length):
+                u1, u2, base, text = group[t]
+                rows.append((_signed(anchor), _signed(xxhash.xxh3_64_intdigest(text[at : at + n + length - 1])), u1, u2, base + at, n, 1))
 
         def out() -> pa.RecordBatch:
             e = np.array(rows, _PIECE)
@@ -290,15 +292,16 @@ def _pieces(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                 seen = counts.get((u1, u2), 0)
                 data = text.as_py().encode() if seen < 2 else b""
                 counts[u1, u2] = seen + 1
-                if len(data) < length:
-                    continue
-                group.append((u1, u2, data))
-                held += len(data)
-                if held >= TEXT_CHUNK:
-                    scan(group)
-                    group, held = [], 0
-                if len(rows) >= 200_000:
-                    yield out()
+                # Long texts in segments that overlap by all but one byte of a window: each window lies in one of them.
+                for base in range(0, len(data) - length + 1, TEXT_CHUNK):
+                    segment = data[base : base + TEXT_CHUNK + length - 1]
+                    group.append((u1, u2, base, segment))
+                    held += len(segment)
+                    if held >= TEXT_CHUNK:
+                        scan(group)
+                        group, held = [], 0
+                    if len(rows) >= 200_000:
+                        yield out()
         if group:
             scan(group)
         yield out()

@@ -3,9 +3,11 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sedimark.llm import suffix_dedup
 from sedimark.operators import duplicates, edits, graph
 from sedimark.plans import registry
 from sedimark.sources.roles import REFERENCES_SQL
@@ -108,3 +110,17 @@ def test_preview_bulk_changes_takes_all_documents(spark, con):
 
 def test_parse_migrations_takes_all_steps(spark, con):
     same(registry.queries()["parse_migrations"](spark, SMALL), con, whole_sql("parse_migrations", " WHERE seq < 500"))
+
+
+def test_suffix_dedup_of_a_text_over_16_mib(spark):
+    letters = np.random.default_rng(3).integers(97, 123, (1 << 24) + 20_000, np.uint8).tobytes().decode()
+    at = [suffix_dedup.TEXT_CHUNK - 300, (1 << 24) + 5_000]  # over the end of a segment, and beyond 16 MiB
+    short = "".join("-" * 50 + letters[k : k + 600] for k in at)
+    rows = suffix_dedup.suffix_dedup(spark.createDataFrame([(1, letters), (2, short)], "doc_id long, text string"), with_text=True).collect()
+    spans = {r["doc_id"]: [(x["s"], x["e"]) for x in r["spans"] or ()] for r in rows}
+    assert spans == {1: [(k, k + 600) for k in at], 2: [(50, 650), (700, 1300)]}
+
+
+def test_anchors_fail_loudly_over_their_positions():
+    with pytest.raises(ValueError):
+        suffix_dedup.anchors([b"a" * (1 << 24)], 400)

@@ -126,5 +126,7 @@ def exact_dedup(
 
 def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col).filter(~F.col("kept"))
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(normalised(docs[text_col]), 256)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (sha == gone["_sha"]), "left_anti")

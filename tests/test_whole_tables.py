@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedimark.llm import suffix_dedup
+from sedimark.llm import exact_dedup, suffix_dedup
 from sedimark.operators import duplicates, edits, graph
 from sedimark.plans import registry
 from sedimark.sources.roles import REFERENCES_SQL
@@ -124,3 +124,9 @@ def test_suffix_dedup_of_a_text_over_16_mib(spark):
 def test_anchors_fail_loudly_over_their_positions():
     with pytest.raises(ValueError):
         suffix_dedup.anchors([b"a" * (1 << 24)], 400)
+
+
+def test_first_copies_keep_unique_texts_of_null_and_repeated_ids(spark):
+    rows = [(1, "a"), (None, "a"), (None, "b"), (2, "a"), (2, "c"), (3, "d")]
+    kept = exact_dedup.first_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["text"], r["doc_id"]) for r in kept.collect()) == [("a", 1), ("b", None), ("c", 2), ("d", 3)]

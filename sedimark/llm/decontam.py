@@ -4,8 +4,8 @@ Texts become lower-case word tokens. Fixed masks over a few neighbouring tokens
 looks at and which it ignores; the hashes of all masked windows of the benchmark are joined with those of
 every document. A hit fixes an item and an alignment, which is then verified token by token: the document
 is contaminated by the item if some stretch of the alignment has at least ``min_tokens`` tokens, begins and
-ends with equal tokens, and differs in at most ``max_diff`` of them. The two masks together hit every
-stretch of 13 tokens with any two substitutions. Items shorter than ``min_tokens`` must occur whole and unchanged.
+ends with equal tokens, and differs in at most ``max_diff`` of them. The masks together hit every
+stretch of 13 to 24 tokens with any substitutions of up to 20 % that the verification accepts. Items shorter than ``min_tokens`` must occur whole and unchanged.
 
 The benchmark is taken in blocks of at most ``block_tokens`` tokens; a block's hashes and texts are
 broadcast, and all documents are scanned once a block. No document is shuffled, so a passage that a third
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-MASKS = ("11101011", "110100111")
+MASKS = ("11101011", "110100111", "101000010111", "1100010111")
 MIN_TOKENS = 13
 MAX_DIFF = 0.2
 BLOCK_TOKENS = 1_000_000

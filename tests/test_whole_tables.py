@@ -2,12 +2,13 @@
 
 import random
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedimark.llm import exact_dedup, suffix_dedup
+from sedimark.llm import decontam, exact_dedup, suffix_dedup
 from sedimark.operators import duplicates, edits, graph
 from sedimark.plans import registry
 from sedimark.sources.roles import REFERENCES_SQL
@@ -130,3 +131,11 @@ def test_first_copies_keep_unique_texts_of_null_and_repeated_ids(spark):
     rows = [(1, "a"), (None, "a"), (None, "b"), (2, "a"), (2, "c"), (3, "d")]
     kept = exact_dedup.first_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r["text"], r["doc_id"]) for r in kept.collect()) == [("a", 1), ("b", None), ("c", 2), ("d", 3)]
+
+
+@pytest.mark.parametrize("n", range(13, 25))
+def test_masks_hit_every_stretch_with_a_fifth_of_substitutions(n):
+    looks = [sum(1 << at + k for k, bit in enumerate(m) if bit == "1") for m in decontam.MASKS for at in range(n - len(m) + 1)]
+    for changed in combinations(range(1, n - 1), n // 5):
+        bits = sum(1 << p for p in changed)
+        assert any(not look & bits for look in looks)

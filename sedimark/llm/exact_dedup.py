@@ -3,8 +3,8 @@
 Every text is normalised (each run of ASCII white space becomes one space; null counts as empty) and
 hashed to 64 bits. The index holds one entry per different text, in buckets: a bucket is a prefix of the
 hash, and a directory that doubles until no bucket is overfull says how many bits each prefix has.
-Owner tasks take buckets, that is ranges of the hash, chain the entries that share a hash, and compare
-the bytes of every text that occurs more than once.
+A hash aggregate on hash and digest decides the groups; the index only lays them out and no task owns a
+bucket. The bytes of every text that occurs more than once are compared in grouped aggregates on the hash.
 
 Only DataFrame and SQL functions run on the executors. Copies collapse before each shuffle (partial
 aggregation), so a text that makes up a third of all rows costs one row per task; the join that gives

@@ -1,19 +1,21 @@
-"""Exact deduplication over an extendible-hash index kept in the shared folder.
+"""Exact deduplication through an extendible-hash index kept in the shared folder.
 
 Every text is normalised (each run of ASCII white space becomes one space; null counts as empty) and
-hashed to 64 bits. The index holds one entry per different text, in buckets: a bucket is a prefix of the
-hash, and a directory that doubles until no bucket is overfull says how many bits each prefix has.
-A hash aggregate on hash and digest decides the groups; the index only lays them out and no task owns a
-bucket. The bytes of every text that occurs more than once are compared in grouped aggregates on the hash.
+hashed to 64 bits. Keys of the index are the different hashes, with the number of rows of each. A directory that
+doubles until no bucket is overfull says how many bits of the hash each bucket has, and the keys are written to
+their buckets. What the index says of more than one row is then decided by the owners of the buckets: an owner task
+holds the key ranges of some buckets, compares the texts of each key byte by byte, and chains the different ones
+with their smallest doc_id and their number of rows. The result is read from these chains.
 
-Only DataFrame and SQL functions run on the executors. Copies collapse before each shuffle (partial
-aggregation), so a text that makes up a third of all rows costs one row per task; the join that gives
-rows their group is a left join on the groups of two or more, which adaptive execution broadcasts when
-small and splits when one key is hot.
+Only DataFrame and SQL functions run on the executors. Copies collapse twice before an owner sees them, in the task
+that reads them and by one of ``SALTS`` parts of each text, so a text that makes up a third of all rows reaches its
+owner as ``SALTS`` rows at most. The join that gives rows their chain is a left join on the chains, which
+adaptive execution broadcasts when small and splits when one key is hot.
 
 Cases: null and empty texts are equal to each other and form one group. Rows that repeat a doc_id are
-rows of their own in ``group_size`` and share one decision. A null doc_id loses every tie and is kept only
-where no row of the group has an id. Extra columns are ignored. An empty table gives an empty result.
+rows of their own in ``group_size`` and share one decision where their texts are equal. A null doc_id loses every tie
+and is kept only where no row of the group has an id. Very long texts are hashed and compared whole. Extra columns
+are ignored, and pass through ``first_copies``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.storage import new_path, staged
+from sedimark.storage import staged
 
-BUCKET_CAPACITY = 1 << 14
-MAX_DEPTH = 16
+MIN_CAPACITY = 512
+#: Buckets hold more than ``MIN_CAPACITY`` keys where the directory would exceed about this many bits otherwise.
+DIRECTORY_BITS = 14
+STEP = 16
+SALTS = 16
 #: Hashes of repeated texts are broadcast up to this many (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_KEYS = 1 << 20
 
@@ -40,80 +45,94 @@ def entries_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return norm.select("id", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"))
 
 
-def grow_directory(histogram: dict[int, int], capacity: int, max_depth: int) -> list[tuple[int, int, int]]:
-    """Directory as (prefix, local depth, entries), by doubling from depth 0.
+def leading_bits(h: Column, bits: int) -> Column:
+    """The first ``bits`` bits of a hash."""
+    return F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
 
-    ``histogram`` counts entries by the first ``max_depth`` bits, so it has at most ``2 ** max_depth``
-    cells whatever the corpus is. A bucket over capacity splits while the directory may still double;
-    beyond that it keeps its overflow.
-    """
-    buckets, level, depth = [], {0: histogram}, 0
-    while level:
-        deeper: dict[int, dict[int, int]] = {}
-        for prefix, cells in level.items():
-            n = sum(cells.values())
-            if n <= capacity or depth == max_depth:
-                buckets.append((prefix, depth, n))
-                continue
-            for cell, k in cells.items():
-                deeper.setdefault(cell >> (max_depth - depth - 1), {})[cell] = k
-        level, depth = deeper, depth + 1
-    return sorted(buckets, key=lambda b: b[0] << (max_depth - b[1]))
 
+def split_buckets(cells: dict[int, int], depth: int, deeper: int, capacity: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(buckets as (prefix, depth), overfull prefixes of ``deeper`` bits) from one overfull bucket of ``depth`` bits.
 
-def build_index(entries: DataFrame, capacity: int = BUCKET_CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The index, read back from its files: bucket, h, sha, keep_id, n; one row per different (h, sha)."""
+    ``cells`` counts its keys by their first ``deeper`` bits. A bucket over capacity splits in two, bit by bit.
+    """
+    done, level = [], {next(iter(cells)) >> (deeper - depth): cells}
+    for d in range(depth, deeper):
+        halves: dict[int, dict[int, int]] = {}
+        for prefix, inside in level.items():
+            if sum(inside.values()) <= capacity:
+                done.append((prefix, d))
+                continue
+            for half in (2 * prefix, 2 * prefix + 1):
+                halves[half] = {}
+            for cell, n in inside.items():
+                halves[cell >> (deeper - d - 1)][cell] = n
+        level = halves
+    overfull = [p for p, inside in level.items() if sum(inside.values()) > capacity and deeper < 64]
+    return done + [(p, deeper) for p in level if p not in set(overfull)], overfull
+
+
+def grow_directory(keys: DataFrame, capacity: int) -> list[tuple[int, int]]:
+    """(prefix, depth) of every bucket. Keys are counted by ``STEP`` more bits a round, in overfull buckets only."""
+    buckets, open_, depth = [], [0], 0
+    while open_:
+        deeper = depth + STEP
+        inside = keys
+        if depth:
+            rows = keys.sparkSession.createDataFrame([(p,) for p in open_], "_open long")
+            inside = keys.join(F.broadcast(rows), leading_bits(F.col("h"), depth) == F.col("_open"), "left_semi")
+        counted = inside.groupBy(leading_bits(F.col("h"), deeper).alias("cell")).count().collect()  # 2 ** STEP a bucket at most
+        by: dict[int, dict[int, int]] = {}
+        for r in counted:
+            cell = r["cell"] & (1 << deeper) - 1
+            by.setdefault(cell >> STEP, {})[cell] = r["count"]
+        open_ = []
+        for cells in by.values():
+            done, overfull = split_buckets(cells, depth, deeper, capacity)
+            buckets += done
+            open_ += overfull
+        depth = deeper
+    return sorted(buckets, key=lambda b: b[0] << (64 - b[1]))
+
+
+def build_index(entries: DataFrame, capacity: int | None = None) -> DataFrame:
+    """The keys in their buckets, read back from the index: bucket, h, rows."""
     spark = entries.sparkSession
-    keys = staged(
-        entries.groupBy("h", "sha").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "dedup-keys"
-    )
-    slot = F.shiftrightunsigned(F.col("h"), 64 - max_depth).cast("int")
-    cells = keys.groupBy(slot.alias("slot")).count().collect()  # at most 2 ** max_depth rows
-    directory = grow_directory({r["slot"]: r["count"] for r in cells}, capacity, max_depth)
-    rows = [(k, p << (max_depth - d), (p + 1) << (max_depth - d)) for k, (p, d, _) in enumerate(directory)]
-    if not rows:
-        return keys.select(F.lit(0).alias("bucket"), "*")
-    # Slots lie in one bucket each; the directory goes out as (bucket, slots) and is joined by slot.
-    spread = spark.createDataFrame(rows, "bucket int, low int, high int").select(
-        "bucket", F.explode(F.sequence("low", F.col("high") - 1)).alias("slot")
-    )
-    path = new_path(spark, "dedup-index")
-    placed = keys.withColumn("slot", slot).join(F.broadcast(spread), "slot").drop("slot")
-    placed.repartition(len(rows), "bucket").write.partitionBy("bucket").parquet(path)
-    schema = placed.select("h", "sha", "keep_id", "n", "bucket").schema
-    return spark.read.schema(schema).parquet(path)
-
-
-def repeated_groups(docs: DataFrame, index: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Groups of two or more: h, sha, keep_id, n, after the bytes of all their texts were compared."""
-    several = staged(index.filter("n > 1").select("h", "sha", "keep_id", "n"), "dedup-several")
-    norm = docs.select(normalised(F.col(text_col)).alias("norm")).withColumn("h", F.xxhash64("norm"))
-    hashes = several.select("h").distinct()
-    few = several.count() <= BROADCAST_KEYS
-    mine = norm.join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
-    texts = mine.groupBy("h", "norm").agg(F.count(F.lit(1)).alias("copies"))
-    chains = texts.groupBy("h", F.sha2("norm", 256).alias("sha")).agg(
-        F.sum("copies").alias("compared"), F.count(F.lit(1)).alias("different")
-    )
-    told = F.raise_error(F.lit("texts of one digest differ in their bytes")).cast("long")
-    return (
-        several.join(chains, ["h", "sha"])
-        .withColumn("n", F.when((F.col("different") == 1) & (F.col("compared") == F.col("n")), F.col("n")).otherwise(told))
-        .select("h", "sha", "keep_id", "n")
-    )
-
-
-def exact_dedup(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    capacity: int = BUCKET_CAPACITY,
-    max_depth: int = MAX_DEPTH,
-) -> DataFrame:
+    keys = staged(entries.groupBy("h").agg(F.count(F.lit(1)).alias("rows")), "dedup-keys")
+    capacity = capacity or max(MIN_CAPACITY, keys.count() >> DIRECTORY_BITS)
+    directory = grow_directory(keys, capacity)
+    # Buckets of up to STEP bits are looked up by STEP bits, and only where these were not enough by STEP more.
+    placed, found = keys, []
+    for bits in range(STEP, STEP + max((d for _, d in directory), default=0), STEP):
+        here = [(k, p << bits - d, (p + 1) << bits - d) for k, (p, d) in enumerate(directory) if bits - STEP < max(d, 1) <= bits]
+        slots = spark.createDataFrame([(k, i - (1 << 64) if i >> 63 else i, n - i) for k, i, n in here], "_bucket int, low long, n long")
+        slots = slots.select(F.col("_bucket").alias(f"_b{bits}"), F.explode(F.sequence("low", F.col("low") + F.col("n") - 1)).alias(f"_s{bits}"))
+        placed = placed.join(F.broadcast(slots), leading_bits(F.col("h"), bits) == F.col(f"_s{bits}"), "left")
+        found.append(F.col(f"_b{bits}"))
+    bucket = F.coalesce(*found) if found else F.lit(0)
+    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.select(bucket.alias("bucket"), "h", "rows").repartition(owners, "bucket").sortWithinPartitions("bucket", "h")
+    return staged(placed, "dedup-index")
+
+
+def chains(docs: DataFrame, index: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What the owners of the buckets find for keys of several rows: bucket, h, link, sha, keep_id, n."""
+    several = staged(index.filter("rows > 1").select("bucket", F.col("h").alias("key")), "dedup-several")
+    known = F.broadcast(several) if several.count() <= BROADCAST_KEYS else several
+    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("h", F.xxhash64("norm"))
+    mine = rows.join(known, F.col("h") == F.col("key")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    fewer = mine.groupBy("bucket", "h", "norm", "salt").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    owners = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owned = fewer.repartition(owners, "bucket").groupBy("bucket", "h", "norm").agg(F.min("id").alias("keep_id"), F.sum("n").alias("n"))
+    link = F.struct(F.sha2("norm", 256).alias("sha"), "keep_id", "n")
+    chained = owned.groupBy("bucket", "h").agg(F.sort_array(F.collect_list(link)).alias("chain"))
+    return staged(chained.select("bucket", "h", F.posexplode("chain").alias("link", "x")).select("bucket", "h", "link", "x.*"), "dedup-chains")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     entries = staged(entries_of(docs, id_col, text_col), "dedup-entries")
-    groups = repeated_groups(docs, build_index(entries, capacity, max_depth), id_col, text_col)
-    joined = entries.join(groups.select("h", "sha", "keep_id", "n"), ["h", "sha"], "left")
+    found = chains(docs, build_index(entries, capacity), id_col, text_col)
+    joined = entries.join(found.select("h", "sha", "keep_id", "n"), ["h", "sha"], "left")
     keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
         F.col("id").alias("doc_id"),

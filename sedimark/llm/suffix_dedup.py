@@ -6,20 +6,21 @@ or another one. Texts are judged as UTF-8 bytes on the input as it is; strings n
 Dealing the work: every window of ``length`` bytes is assigned to its anchor, the ``GRAM``-byte string in it with
 the least hash (grams that repeat a short period come last), so equal windows have equal anchors. The windows of
 one anchor in a row make a piece. Anchors that occur once are done. The pieces of the others are dealt by anchor; pieces
-with the same bytes collapse to two, which is what a suffix array needs to see that they repeat.
+with the same 128-bit digest of their bytes collapse to one that counts twice.
 
 In each task the pieces stand in one string. Its suffixes are sorted as far as ``length`` bytes by doubling, and
 common prefix lengths come from the Burrows-Wheeler transform: intervals of suffixes that share a prefix are
 expanded breadth first, one byte to the left at a time, and the boundary of an interval that is new at
 prefix length l gets the value l, by increasing value. Expansion stops at ``length``: boundaries still without a
-value separate suffixes that share at least that much. Windows in such a run are repeated.
+value separate suffixes that share at least that much. Windows in such a run repeat if they count twice or more.
 
-Where more than ``HOT`` pieces share an anchor (a passage in many different surroundings), they are thinned
-before that: windows whose digest is theirs alone cannot repeat, and of windows with one digest two go on to the
-suffix array, whose verdict holds for all of them.
+Where more than ``HOT`` different pieces share an anchor (a passage in many different surroundings), their windows
+are dealt one by one, by a 128-bit digest each, so that no task holds an anchor: windows whose digest is theirs alone
+cannot repeat, and of the windows with one digest the first and the last go to the suffix array, whose verdict holds
+for all of them.
 
-Texts are known by two 64-bit hashes, so copies of a text share their pieces' fate; a text that occurs twice
-enters its pieces twice. One document per different text gives the bytes of the pieces.
+Texts are known by two 64-bit hashes, so copies of a text share their pieces' fate; a text that occurs twice or more
+counts its pieces twice. One document per different text gives the bytes of the pieces.
 
 Cases: null counts as empty; texts under ``length`` bytes stay whole. Rows that repeat a doc_id are texts of their
 own, so equal repeated rows of ``length`` bytes or more lose everything. A null doc_id is kept as such. Extra
@@ -29,7 +30,6 @@ columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,69 +186,21 @@ def shared_to_next(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     return order, ~known[1:n]
 
 
-def repeated_windows(pieces: list[bytes], length: int) -> list[np.ndarray]:
-    """For each piece, which of its windows of ``length`` bytes occur at least twice among all pieces."""
+def repeated_windows(pieces: list[bytes], weights: list[int], length: int) -> list[np.ndarray]:
+    """For each piece, which of its windows of ``length`` bytes count at least twice among all pieces."""
     bases = np.cumsum([0] + [len(p) + 1 for p in pieces])[:-1]
     text = np.frombuffer(b"\xff".join(pieces) + b"\xff\xfe", np.uint8)
     order, shared = shared_to_next(text, length)
-    whole = np.zeros(len(text), bool)
-    for base, p in zip(bases, pieces):
-        whole[base : base + len(p) - length + 1] = True
+    mine = np.zeros(len(text), np.int32)
+    for base, p, w in zip(bases, pieces, weights):
+        mine[base : base + len(p) - length + 1] = w
     run = np.concatenate(([0], np.cumsum(~shared)))
-    mine = whole[order]
-    several = np.bincount(run, weights=mine) >= 2
+    weight = mine[order]
     flags = np.zeros(len(text), bool)
-    flags[order] = several[run] & mine
+    flags[order] = (np.bincount(run, weights=weight) >= 2)[run] & (weight > 0)
     return [flags[b : b + len(p) - length + 1] for b, p in zip(bases, pieces)]
 
 
-_BASE = 0x9E3779B97F4A7C15  # odd
-
-
-def window_digests(piece: bytes, length: int) -> np.ndarray:
-    """A 64-bit digest of every window of a piece; equal windows have equal digests wherever they stand."""
-    n = len(piece)
-    powers = np.cumprod(np.full(n + 1, _BASE, np.uint64))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((np.frombuffer(piece, np.uint8).astype(np.uint64) + np.uint64(1)) * powers[:n])))
-    start = np.arange(n - length + 1)
-    inverse = np.uint64(pow(_BASE, -1, 1 << 64))
-    down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(start) - 1, inverse, np.uint64))))
-    d = (sums[start + length] - sums[start]) * down
-    return (d ^ (d >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-
-
-def thinned_windows(pieces: list[bytes], times: list[int], length: int) -> list[np.ndarray]:
-    """``repeated_windows`` of many pieces that overlap little: only two windows of each digest are compared."""
-    digests = [window_digests(p, length) for p in pieces]
-    sizes = np.array([len(d) for d in digests])
-    flat = np.concatenate(digests)
-    weight = np.repeat(np.array(times), sizes)
-    order = np.argsort(flat, kind="stable")
-    ordered, w = flat[order], weight[order]
-    start = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    group = np.cumsum(start) - 1
-    several = np.bincount(group, weights=w) >= 2
-    total = np.cumsum(w)
-    first = np.flatnonzero(start)
-    ahead = total - w - (total - w)[first][group]  # instances of the digest before this one
-    chosen = np.zeros(len(flat), bool)
-    chosen[order] = several[group] & (ahead < 2)
-    cuts, where = [], []
-    bases = np.cumsum(sizes) - sizes
-    for k, (p, base) in enumerate(zip(pieces, bases)):
-        for s, e in runs_of(chosen[base : base + sizes[k]]).tolist():
-            for _ in range(min(times[k], 2)):
-                cuts.append(p[s : e + length - 1])
-                where.append(int(base) + s)
-    true = np.zeros(len(first), bool)
-    number = np.empty(len(flat), np.int64)
-    number[order] = group
-    for flags, at in zip(repeated_windows(cuts, length) if cuts else (), where):
-        true[number[at : at + len(flags)][flags]] = True
-    out = true[number]
-    return [out[b : b + n] for b, n in zip(bases, sizes)]
-
-
 def runs_of(flags: np.ndarray) -> np.ndarray:
     """Runs of true flags as an array of (start, end)."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
@@ -257,13 +209,25 @@ def runs_of(flags: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- stages
 
-_PIECE = np.dtype([("anchor", "<i8"), ("bytes", "<i8"), ("u1", "<i8"), ("u2", "<i8"), ("at", "<i4"), ("n", "<i4"), ("times", "<i4")])
+_PIECE = np.dtype(
+    [("anchor", "<i8"), ("b1", "<i8"), ("b2", "<i8"), ("u1", "<i8"), ("u2", "<i8"), ("at", "<i4"), ("n", "<i4"), ("times", "<i4")]
+)
+_KEY = ["anchor", "b1", "b2"]
 
 
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _digest(data: bytes) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(data)
+    return _signed(d >> 64), _signed(d & (1 << 64) - 1)
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
+
+
 def _pieces(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     """Packed pieces by bucket of the anchor."""
 
@@ -274,7 +238,7 @@ def _pieces(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         def scan(group: list[tuple[int, int, int, bytes]]) -> None:
             for t, at, n, anchor in anchors([g[3] for g in group], length):
                 u1, u2, base, text = group[t]
-                rows.append((_signed(anchor), _signed(xxhash.xxh3_64_intdigest(text[at : at + n + length - 1])), u1, u2, base + at, n, 1))
+                rows.append((_signed(anchor), *_digest(text[at : at + n + length - 1]), u1, u2, base + at, n, 1))
 
         def out() -> pa.RecordBatch:
             e = np.array(rows, _PIECE)
@@ -309,78 +273,118 @@ def _pieces(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, data binary")
 
 
-def _shared(pieces: DataFrame, buckets: int) -> DataFrame:
-    """Pieces whose anchor occurs more than once: bucket, anchor, bytes, u1, u2, at, n, times (0 where not needed as bytes)."""
+def _shared(pieces: DataFrame, buckets: int, hot: int) -> DataFrame:
+    """Pieces whose anchor occurs more than once: the columns of ``_PIECE`` and ``hot``.
+
+    ``times`` is 1 or 2 on one of the pieces with the same bytes, by how often these occur, and 0 on the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [np.frombuffer(d, _PIECE) for b in batches for d in b["data"].to_pylist()]
         e = np.concatenate([np.empty(0, _PIECE), *parts])
-        e = e[np.lexsort((e["at"], e["u2"], e["u1"], e["bytes"], e["anchor"]))]
+        e = e[np.lexsort((e["at"], e["u2"], e["u1"], e["b2"], e["b1"], e["anchor"]))]
         if not len(e):
             return
-        new = np.zeros(len(e), bool)
-        new[0] = True
-        for name in ("anchor", "bytes", "u1", "u2", "at"):
-            new[1:] |= e[name][1:] != e[name][:-1]
-        first = np.flatnonzero(new)
-        times = np.minimum(np.diff(np.concatenate((first, [len(e)]))), 2)
+
+        def changes(*names: str) -> np.ndarray:
+            new = np.zeros(len(e), bool)
+            new[0] = True
+            for name in names:
+                new[1:] |= e[name][1:] != e[name][:-1]
+            return new
+
+        first = np.flatnonzero(changes("anchor", "b1", "b2", "u1", "u2", "at"))
+        times = np.diff(np.concatenate((first, [len(e)])))
         e = e[first].copy()
-        e["times"] = times
-        start = np.concatenate(([True], e["anchor"][1:] != e["anchor"][:-1]))
-        of = np.cumsum(start) - 1
-        e, of = (x[np.bincount(of, weights=e["times"])[of] >= 2] for x in (e, of))
-        if not len(e):
-            return
-        same = np.concatenate(([True], (e["anchor"][1:] != e["anchor"][:-1]) | (e["bytes"][1:] != e["bytes"][:-1])))
-        begin = np.maximum.accumulate(np.where(same, np.arange(len(e)), 0))
-        total = np.cumsum(e["times"])
-        ahead = total - e["times"] - (total - e["times"])[begin]  # instances of the same bytes before this one
-        e["times"] = np.clip(2 - ahead, 0, e["times"])
+        bytes_first = np.flatnonzero(changes("anchor", "b1", "b2"))
+        totals = np.add.reduceat(times, bytes_first)
+        e["times"] = 0
+        e["times"][bytes_first] = np.minimum(totals, 2)
+        of = np.cumsum(changes("anchor")) - 1
+        several = np.bincount(of, weights=times)[of] >= 2
+        crowded = np.bincount(of, weights=e["times"] > 0)[of] > hot
+        e, crowded = e[several], crowded[several]
         for k in range(0, len(e), 100_000):
             x = e[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[c])) for c in _PIECE.names], list(_PIECE.names))
+            columns = [pa.array(np.ascontiguousarray(x[c])) for c in _PIECE.names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(crowded[k : k + 100_000])], [*_PIECE.names, "hot"])
 
-    schema = "anchor long, bytes long, u1 long, u2 long, at int, n int, times int"
+    schema = "anchor long, b1 long, b2 long, u1 long, u2 long, at int, n int, times int, hot boolean"
     return pieces.repartition(buckets, "bucket").mapInArrow(run, schema)
 
 
 def _verdicts(carriers: DataFrame, length: int) -> DataFrame:
-    """(anchor, bytes, runs) of the pieces in ``carriers`` (anchor, bytes, times, piece), dealt by anchor."""
+    """(anchor, b1, b2, runs) of the pieces in ``carriers`` (anchor, b1, b2, times, piece), dealt by anchor."""
+    kinds = {"anchor": pa.int64(), "b1": pa.int64(), "b2": pa.int64(), "runs": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b[c].to_pylist() for c in ("anchor", "bytes", "times", "piece")))]
+        rows = [r for b in batches for r in zip(*(b[c].to_pylist() for c in (*_KEY, "times", "piece")))]
         rows.sort(key=lambda r: r[0])
         chunk: list[tuple] = []
 
         def judge() -> pa.RecordBatch:
-            if chunk[0][0] == chunk[-1][0] and len(chunk) > HOT:
-                instances = range(len(chunk))
-                flags = thinned_windows([r[3] for r in chunk], [r[2] for r in chunk], length)
-            else:
-                instances = [k for k, r in enumerate(chunk) for _ in range(r[2])]
-                flags = repeated_windows([chunk[k][3] for k in instances], length)
-            got = {chunk[k][:2]: runs_of(f).tobytes() for k, f in zip(instances, flags)}
-            got = {k: v for k, v in got.items() if v}
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[c] for k in got], pa.int64()) for c in (0, 1)] + [pa.array(list(got.values()), pa.binary())], ["anchor", "bytes", "runs"]
-            )
-
-        sizes = Counter(r[0] for r in rows)
+            flags = repeated_windows([r[4] for r in chunk], [r[3] for r in chunk], length)
+            return _batch([(*r[:3], runs_of(f).tobytes()) for r, f in zip(chunk, flags) if f.any()], kinds)
+
         size = 0
         for r in rows:
-            if chunk and chunk[-1][0] != r[0] and (size >= CHUNK or sizes[r[0]] > HOT or sizes[chunk[-1][0]] > HOT):
+            if size >= CHUNK and chunk[-1][0] != r[0]:
                 yield judge()
                 chunk, size = [], 0
             chunk.append(r)
-            size += r[2] * len(r[3])
+            size += len(r[4])
         if chunk:
             yield judge()
 
-    return carriers.mapInArrow(run, "anchor long, bytes long, runs binary")
+    return carriers.mapInArrow(run, "anchor long, b1 long, b2 long, runs binary")
+
+
+def _hot_verdicts(carriers: DataFrame, length: int, buckets: int) -> DataFrame:
+    """``_verdicts`` of pieces whose anchors have many: window by window, dealt by digest."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"anchor": pa.int64(), "b1": pa.int64(), "b2": pa.int64(), "times": pa.int32(), "o": pa.int32(), "d1": pa.int64(), "d2": pa.int64()}
+        for b in batches:
+            for anchor, b1, b2, times, piece in zip(*(b[c].to_pylist() for c in (*_KEY, "times", "piece"))):
+                windows = range(len(piece) - length + 1)
+                yield _batch([(anchor, b1, b2, times, o, *_digest(piece[o : o + length])) for o in windows], kinds)
+
+    schema = "anchor long, b1 long, b2 long, times int, o int, d1 long, d2 long"
+    windows = staged(carriers.mapInArrow(digests, schema), "suffix-windows")
+    place = F.struct(*_KEY, "o")
+    counted = windows.groupBy("d1", "d2").agg(F.sum("times").alias("w"), F.min(place).alias("low"), F.max(place).alias("high")).filter("w > 1")
+    once = F.col("low") == F.col("high")
+    weighed = [F.struct(F.lit(k).cast("long").alias("k"), F.when(once, 2).otherwise(1).alias("weight"), F.col(c).alias("place")) for k, c in enumerate(("low", "high"))]
+    chosen = counted.select("d1", "d2", F.explode(F.when(once, F.array(weighed[0])).otherwise(F.array(*weighed))).alias("x"))
+    wanted = chosen.groupBy(*(F.col(f"x.place.{c}").alias(c) for c in _KEY)).agg(
+        F.collect_list(F.struct("d1", "d2", "x.k", "x.weight", F.col("x.place.o").alias("o"))).alias("cuts")
+    )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"anchor": pa.int64(), "b1": pa.int64(), "b2": pa.int64(), "times": pa.int32(), "piece": pa.binary()}
+        for b in batches:
+            for piece, cuts in zip(b["piece"].to_pylist(), b["cuts"].to_pylist()):
+                yield _batch([(c["d1"], c["d2"], c["k"], c["weight"], piece[c["o"] : c["o"] + length]) for c in cuts], kinds)
+
+    pieces = carriers.join(wanted, _KEY).select("piece", "cuts")
+    cuts = pieces.mapInArrow(cut, "anchor long, b1 long, b2 long, times int, piece binary").repartition(buckets, "anchor")
+    true = staged(_verdicts(cuts, length).select(F.col("anchor").alias("d1"), F.col("b1").alias("d2")).distinct(), "suffix-true")
+    found = windows.join(true, ["d1", "d2"], "left_semi").groupBy(*_KEY).agg(F.sort_array(F.collect_set("o")).alias("at"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for at in b["at"].to_pylist():
+                flags = np.zeros(at[-1] + 1, bool)
+                flags[at] = True
+                out.append(runs_of(flags).tobytes())
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in _KEY), pa.array(out, pa.binary())], [*_KEY, "runs"])
+
+    return found.mapInArrow(pack, "anchor long, b1 long, b2 long, runs binary")
 
 
 def suffix_dedup(
-    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = HOT
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -389,29 +393,33 @@ def suffix_dedup(
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     docs = docs.withColumns({"u1": F.xxhash64("text"), "u2": F.xxhash64(F.reverse("text"), F.octet_length("text"))})
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     large = docs.filter(F.octet_length("text") >= length)
-    shared = staged(_shared(_pieces(large.select("u1", "u2", "text"), 2 * partitions, length), 2 * partitions), "suffix-shared")
+    shared = staged(_shared(_pieces(large.select("u1", "u2", "text"), buckets, length), buckets, hot), "suffix-shared")
     holders = large.groupBy("u1", "u2").agg(F.min("doc_id").alias("doc_id"))
-    needed = shared.filter("times > 0").groupBy("u1", "u2").agg(F.collect_list(F.struct("anchor", "bytes", "times", "at", "n")).alias("cuts"))
+    needed = shared.filter("times > 0").groupBy("u1", "u2").agg(F.collect_list(F.struct(*_KEY, "times", "hot", "at", "n")).alias("cuts"))
     needed = staged(needed.join(holders, ["u1", "u2"]), "suffix-needed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"anchor": pa.int64(), "b1": pa.int64(), "b2": pa.int64(), "times": pa.int32(), "hot": pa.bool_(), "piece": pa.binary()}
         for b in batches:
             out = []
             for text, cuts in zip(b["text"].to_pylist(), b["cuts"].to_pylist()):
                 data = text.encode()
-                for c in cuts:
-                    out.append((c["anchor"], c["bytes"], c["times"], data[c["at"] : c["at"] + c["n"] + length - 1]))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["anchor", "bytes", "times", "piece"])
+                out += [(c["anchor"], c["b1"], c["b2"], c["times"], c["hot"], data[c["at"] : c["at"] + c["n"] + length - 1]) for c in cuts]
+            yield _batch(out, kinds)
 
     keys = needed.select(*(F.col(c).alias(f"_{c}") for c in ("u1", "u2", "doc_id")), "cuts")
     whole = large.join(
         keys.hint("shuffle_hash"), (F.col("u1") == F.col("_u1")) & (F.col("u2") == F.col("_u2")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
     )
-    carriers = whole.select("text", "cuts").mapInArrow(cut, "anchor long, bytes long, times int, piece binary")
-    verdicts = staged(_verdicts(carriers.repartition(2 * partitions, "anchor"), length), "suffix-verdicts")
+    schema = "anchor long, b1 long, b2 long, times int, hot boolean, piece binary"
+    carriers = staged(whole.select("text", "cuts").mapInArrow(cut, schema), "suffix-carriers")
+    verdicts = _verdicts(carriers.filter("not hot").repartition(buckets, "anchor"), length)
+    crowded = carriers.filter("hot")
+    if not crowded.isEmpty():
+        verdicts = verdicts.unionByName(_hot_verdicts(crowded, length, buckets))
+    verdicts = staged(verdicts, "suffix-verdicts")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -423,7 +431,7 @@ def suffix_dedup(
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["u1", "u2", "s", "e"])
 
-    hits = shared.join(verdicts, ["anchor", "bytes"]).select("u1", "u2", "at", "runs")
+    hits = shared.join(verdicts, _KEY).select("u1", "u2", "at", "runs")
     spans = hits.mapInArrow(spread, "u1 long, u2 long, s int, e int").groupBy("u1", "u2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = staged(spans, "suffix-spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["spans", "kept"] * with_text

@@ -13,7 +13,8 @@ parts before, so a source with a third of all rows is spread over as many tasks
 
 Cases: null or empty texts have size 0 and are taken 0 words. Null sources form one source, ordered last.
 Rows that repeat a doc_id are documents of their own. Sources without words have target 0. An empty table
-gives an empty result. Extra columns are ignored.
+gives an empty result. Very long texts are counted whole. Extra columns are ignored by ``mix`` and pass through ``mixed``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -79,10 +80,12 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: str | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken."""
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken, and ``carry`` if given."""
+    kept = [F.col(carry).alias("_carry")] if carry else []
     sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *kept
     )
     ordered = sized.repartitionByRange("source", "size", "doc_id").withColumn("part", F.spark_partition_id())
     parts = staged(ordered, "mix-parts")
@@ -104,7 +107,8 @@ def mix(
         met.withColumn("rate", rate)
         .withColumn("copies", crossed.cast("long"))
         .select(
-            "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+            "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+            *([F.col("_carry").alias(carry)] if carry else []),
         )
     )
 
@@ -112,12 +116,19 @@ def mix(
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, each as often as it was emitted, and ``copy_no`` from 1.
 
-    Rows that share doc_id, source and size are emitted as often as the most often emitted of them.
+    A column ``copy_no`` of ``docs`` is replaced. Rows are known by two hashes of all their columns but maps and variants; rows equal in
+    all of these are one row that is emitted as often as all of them.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).filter("copies > 0")
-    times = taken.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-    times = times.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies")
-    sized = docs.withColumn("_words", word_count(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy_no")
-    return sized.join(times, same).select(*[docs[c] for c in docs.columns], copies)
+    docs = docs.drop("copy_no")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    keys = [F.xxhash64(*hashed), F.xxhash64(F.lit("second"), *reversed(hashed))]
+    names = {"id": id_col, "text": text_col, "source": source_col}
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(k.alias(f"k{i}") for i, k in enumerate(keys, 1)))
+    slim = rows.select(*(F.col("row").getField(c).alias(name) for name, c in names.items()), F.struct("k1", "k2").alias("key"))
+    taken = mix(slim, id_col="id", text_col="text", source_col="source", carry="key", **options)
+    counts = taken.groupBy("key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
+    counts = staged(counts.select("key.k1", "key.k2", "copies", "rows"), "mix-taken")
+    once = rows.join(counts.filter("rows = 1"), ["k1", "k2"])
+    several = rows.join(counts.filter("rows > 1"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_no")
+    return once.unionByName(several).select("row", copies).select("row.*", "copy_no")

@@ -13,7 +13,7 @@ Packages go to the shared folder, each under a name of its own, and a manifest o
 is written as a table; what a lost or repeated task leaves behind is in no manifest. Reading is split by runs of
 records, so a large package is read by many tasks.
 
-Cases: a null payload is empty. Rows that repeat the largest id of their group are all responses. A null
+Cases: a null payload is empty; a very long one is written and read as one record, in memory. Rows that repeat the largest id of their group are all responses. A null
 id is written as such, never wins, and comes back as null. An empty table makes no package. Extra columns
 are ignored.
 """

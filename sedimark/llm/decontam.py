@@ -11,8 +11,9 @@ The benchmark is taken in blocks of at most ``block_tokens`` tokens; a block's h
 broadcast, and all documents are scanned once a block. No document is shuffled, so a passage that a third
 of all documents share is a third of the results and no hot key.
 
-Cases: null or empty texts have no tokens and are clean; so are items without tokens. Long texts are
-scanned whole. Repeated rows are searched each. An empty benchmark leaves every document clean. Of several
+Cases: null or empty texts have no tokens and are clean; so are items without tokens. Very long texts are
+scanned whole. Repeated rows are searched each. An empty benchmark leaves every document clean; an empty documents table
+gives an empty result. Extra columns are ignored, and pass through ``clean_documents``. Of several
 alignments of an item in a document the one with most equal tokens counts, then the first.
 """
 
@@ -38,6 +39,7 @@ _WORD = re.compile(r"\w+")
 _MEMO_LIMIT = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
+_HITS = 1 << 20
 
 
 class _Hashes(dict):
@@ -74,14 +76,12 @@ def best_stretch(equal: np.ndarray, min_tokens: int, max_diff: float) -> tuple[i
         return None
     # A stretch from at[i] to at[j] holds j - i + 1 equal tokens: (1 - max_diff) * length <= j - i + 1.
     key = (1 - max_diff) * at - np.arange(len(at))
-    best = None
-    for i in range(len(at)):
-        ends = np.flatnonzero(key[i:] <= key[i] + max_diff + 1e-9)
-        j = i + int(ends[-1])
-        n = int(at[j] - at[i] + 1)
-        if n >= min_tokens and (best is None or n > best[1] - best[0]):
-            best = (int(at[i]), int(at[j]) + 1)
-    return best
+    # The furthest j with a key of at most the bound is the last one whose least later key is.
+    later = np.minimum.accumulate(key[::-1])[::-1]
+    last = np.searchsorted(later, key + (max_diff + 1e-9), "right") - 1
+    sizes = at[last] - at + 1
+    i = int(np.argmax(sizes))
+    return (int(at[i]), int(at[last[i]]) + 1) if sizes[i] >= min_tokens else None
 
 
 class SeedIndex:
@@ -111,7 +111,7 @@ class SeedIndex:
     def search(self, text: str | None, memo: _Hashes) -> list[tuple]:
         """(item_id, overlap, equal, doc_start, item_start) for each item that contaminates the text."""
         h = token_hashes(text, memo)
-        alignments = set()
+        alignments = np.empty(0, np.int64)
         for mask, (found, whose, where, sieve) in zip(self.masks, self.tables):
             if not len(found):
                 continue
@@ -120,12 +120,18 @@ class SeedIndex:
             if not len(at):
                 continue
             low, high = np.searchsorted(found, mine[at], "left"), np.searchsorted(found, mine[at], "right")
-            for p, a, b in zip(at[high > low], low[high > low], high[high > low]):
-                for k in range(a, b):
-                    alignments.add((int(whose[k]), int(p) - int(where[k])))
+            # Repetitive texts hit often at few alignments, so hits are expanded in parts and kept once.
+            cut = np.searchsorted(np.cumsum(high - low), np.arange(_HITS, int((high - low).sum()) + _HITS, _HITS))
+            for a, b in zip([0, *(cut + 1)], [*(cut[:-1] + 1), len(at)]):
+                n = (high - low)[a:b]
+                k = np.repeat(low[a:b] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                alignments = np.union1d(alignments, (whose[k] << 36) + (np.repeat(at[a:b], n) - where[k] + (1 << 35)))
         best: dict[int, tuple] = {}
-        for k, shift in sorted(alignments):
+        for code in alignments.tolist():
+            k, shift = code >> 36, (code & (1 << 36) - 1) - (1 << 35)
             item = self.items[k]
+            if k in best and best[k][2] == len(item):
+                continue  # no later alignment has more equal tokens
             start, end = max(0, -shift), min(len(item), len(h) - shift)
             equal = item[start:end] == h[start + shift : end + shift]
             if len(item) < self.min_tokens:

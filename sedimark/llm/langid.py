@@ -9,14 +9,18 @@ the whole text.
 The model is fitted on a bounded sample of rows with a language, counted per task and summed by shuffle;
 it keeps at most ``max_words`` words and ``max_grams`` n-grams a language, so it is sent to every task.
 
-Cases: ``und`` with score 0 for null texts and texts without letters, and for all texts where no row has a
-language. Ties go to the language that sorts first. Repeated rows get a row each; extra columns are ignored.
+Model bounds: the sample, ``max_words`` and ``max_grams`` a language, and words and n-grams seen once are left out.
+
+Cases: ``und`` with score 0 for null and empty texts and texts without letters, and for all texts where no row has a
+language. Ties go to the language that sorts first. Very long texts are read whole. Repeated rows get a row each; extra
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -26,14 +30,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.llm.sampling import bounded_sample
+from sedimark.storage import staged
 
 MAX_TRAIN_ROWS = 12_000
 MAX_WORDS = 20_000
 MAX_GRAMS = 12_000
 MAX_GRAM = 4
+PARTS = 16
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: ``\w`` takes number signs such as those for a half or for Roman numerals for word characters; they are no letters.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 _MEMO_LIMIT = 400_000
 
 
@@ -77,10 +85,15 @@ def fit_language(
 
     counted = sample.select("text", "lang").mapInArrow(count, "lang string, kind int, gram string, n long")
     summed = counted.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("lang", "kind")).alias("total")
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram")).alias("rank")
-    kept = summed.select("*", total, rank).filter((F.col("n") > 1) & (F.col("rank") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams)))
-    rows = kept.select("lang", "kind", "gram", "n", "total").collect()  # bounded by max_words and max_grams a language
+    summed = staged(summed, "language-counts")
+    total = summed.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
+    # The most frequent of each language and kind, in two steps, so that no task ranks all of one language.
+    bound = F.when(F.col("kind") == 0, max_words).otherwise(max_grams)
+    kept = summed.filter("n > 1").withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS)))
+    for by in (["lang", "kind", "part"], ["lang", "kind"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "gram"))
+        kept = kept.withColumn("rank", rank).filter(F.col("rank") <= bound)
+    rows = kept.join(F.broadcast(total), ["lang", "kind"]).select("lang", "kind", "gram", "n", "total").collect()  # bounded by max_words and max_grams a language
     langs = sorted({r["lang"] for r in rows})
     place = {lang: k for k, lang in enumerate(langs)}
     floors, cells = {}, [defaultdict(dict) for _ in range(MAX_GRAM + 1)]

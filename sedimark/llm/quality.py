@@ -9,7 +9,7 @@ disjoint parts of a bounded sample of labelled rows, and averages the parts' wei
 
 Cases: null and empty texts have no n-grams and score the logistic of the bias. Long texts are scored whole.
 Without labelled rows every score is 0.5. Repeated rows get a row each. Extra columns pass through
-``accepted`` untouched and are ignored by ``quality_scores``.
+``accepted`` untouched and are ignored by ``quality_scores``. An empty table gives an empty result.
 """
 
 from __future__ import annotations

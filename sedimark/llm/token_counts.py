@@ -6,10 +6,12 @@ heap holds the adjacent pairs that have a merge rank, and the lowest (rank, posi
 again; stale heap entries are skipped. A piece has as many tokens as it had symbols, less the merges made,
 so no identifier is ever built. Pieces repeat, so each task remembers their counts.
 
-The file at ``path`` is read on the driver; its merges, bounded by the vocabulary, are broadcast.
+The file at ``path`` is read on the driver; its merges, bounded by the vocabulary, are broadcast. Of normalisers it may
+name Unicode forms, lower case and the replacement of white space by spaces; others raise an error. Letters newer than
+Unicode 15.1 are cut and lower-cased by this interpreter's tables, which may differ from those of the library's build.
 
-Cases: null counts as empty: no bytes, no tokens. Long texts are counted whole. Repeated rows get a row
-each; extra columns are ignored.
+Cases: null counts as empty: no bytes, no tokens. Very long texts are counted whole. Repeated rows get a row
+each; extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 LIMIT = 2048
 _MEMO_LIMIT = 500_000
+_FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 
 
 def byte_symbols() -> list[str]:
@@ -42,6 +45,10 @@ def load_vocabulary(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model = spec["model"]
+    steps = spec["normalizer"] or {"type": "Sequence", "normalizers": []}
+    steps = [s for s in steps.get("normalizers", [steps]) if s.get("pattern") != {"Regex": "\\s+"} or s.get("content") != " "]
+    if unknown := [s["type"] for s in steps if s["type"] not in (*_FORMS, "Lowercase")]:
+        raise ValueError(f"normalisers without support: {unknown}")
     splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
     pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
     return {
@@ -50,6 +57,8 @@ def load_vocabulary(path: str) -> dict:
         "suffix": model["end_of_word_suffix"] or "",
         "pattern": splits[0]["pattern"]["Regex"],
         "special": [t["content"] for t in spec["added_tokens"]],
+        # White space never gets into a piece, so which white space stands between pieces makes no difference.
+        "normal": [s["type"] for s in steps],
     }
 
 
@@ -63,6 +72,7 @@ class MergeCounter:
         self.pieces = regex.compile(vocabulary["pattern"].replace(r"[^\s", r"[^\p{White_Space}"))
         special = sorted(vocabulary["special"], key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.normal = vocabulary["normal"]
         self.memo: dict[str, int] = {}
 
     def piece(self, text: str) -> int:
@@ -104,11 +114,13 @@ class MergeCounter:
 
     def plain(self, text: str) -> int:
         """Tokens of a text without special strings."""
-        text = text if text.isascii() else unicodedata.normalize("NFC", text)
-        if "Σ" in text:  # lower case letter by letter, so no final form of sigma
-            text = text.replace("Σ", "σ")
-        total, memo = 0, self.memo
-        for piece, k in Counter(self.pieces.findall(text.lower())).items():
+        plain, total, memo = text.isascii(), 0, self.memo
+        for step in self.normal:
+            if step == "Lowercase":  # letter by letter, so no final form of sigma
+                text = (text.replace("Σ", "σ") if not plain and "Σ" in text else text).lower()
+            elif not plain:
+                text = unicodedata.normalize(step, text)
+        for piece, k in Counter(self.pieces.findall(text)).items():
             n = memo.get(piece)
             if n is None:
                 if len(memo) >= _MEMO_LIMIT:

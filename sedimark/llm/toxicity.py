@@ -8,18 +8,23 @@ parameters.
 
 ``fit_lexicon`` learns entries from a bounded sample of labelled rows: words and beginnings of words whose
 log odds of occurring in a toxic row reach ``min_weight``. Entries are taken by the number of toxic rows they are
-in; what an entry covers, or would cover it, is not taken again. Near copies in the sample count once. Exception phrases are the words of clean rows that an entry would match.
+in; what an entry covers, or would cover it, is not taken again. Near copies in the sample count once. Exception phrases
+are what entries match in at least ``min_rows`` clean rows and in no toxic one: a word that begins like an entry, or a match
+with the word before or after it. Model bounds: the sample, ``max_entries`` entries and as many exceptions.
 
 Cases: null and empty texts have no match and get the score of none. Without labelled rows the lexicon is
-empty. Repeated rows get a row each; extra columns are ignored. Texts are matched whole.
+empty. Repeated rows get a row each; extra columns are ignored. Texts are matched whole, very long ones too. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -50,6 +55,7 @@ _FOLD = str.maketrans(HOMOGLYPHS | _WIDE | dict.fromkeys("\u200b\u200c\u200d\u00
 _SIGN = re.compile(r"(?<=[^\W\d_])[0134578@$]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578@$]+(?!\w)|(?<!\w)[0134578@$]+(?=[^\W\d_])")
 _SUB = str.maketrans(SUBSTITUTES)
 _WORD = re.compile(r"[^\W\d_]+")
+_LAST_WORD, _NEXT_WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]+ \Z"), re.compile(r" [^\W\d_]+")
 
 
 def fold(text: str) -> str:
@@ -93,13 +99,28 @@ class ToxicityScorer:
                         excepted.append((start, end))
                 elif kind[0] or whole:
                     found[start] = max(found.get(start, (0, 0.0)), (end, kind[1]))
-        return [(s, e, w) for s, (e, w) in sorted(found.items()) if not any(a <= s and e <= b for a, b in excepted)]
+        excepted.sort()
+        starts, ends = [a for a, _ in excepted], list(accumulate((b for _, b in excepted), max))
+        # A match lies in an exception if the furthest end of those that begin no later is not before its own.
+        covered = lambda s, e: (k := bisect_right(starts, s)) > 0 and ends[k - 1] >= e
+        return [(s, e, w) for s, (e, w) in sorted(found.items()) if not covered(s, e)]
+
+    def phrases(self, folded: str) -> set[str]:
+        """The word of each match, alone where it is longer than the entry, and with its neighbours on the same line."""
+        out = set()
+        for start, end, _ in self.matches(folded):
+            while end < len(folded) and folded[end].isalpha():
+                end += 1
+            before, after = _LAST_WORD.search(folded, max(0, start - 60), start), _NEXT_WORD.match(folded, end)
+            out.add(folded[start:end])
+            out |= {folded[m.start() if k == 0 else start : end if k == 0 else m.end()] for k, m in enumerate((before, after)) if m}
+        return out
 
     def __call__(self, text: str | None) -> tuple[float, int]:
         """(score, matches)."""
         folded = fold(text or "")
         found = self.matches(folded)
-        words = folded.count(" ") + folded.count("\n") + 1
+        words = len(folded.split())
         raw = sum(w for _, _, w in found) / math.log2(2 + words)
         return 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, self.slope * (raw - self.centre))))), len(found)
 
@@ -116,7 +137,7 @@ def fit_lexicon(
     max_entries: int = MAX_ENTRIES,
 ) -> tuple[dict[str, float], list[str]]:
     """(lexicon, exceptions) from at most about ``max_rows`` labelled rows."""
-    sample = without_copies(staged(labelled(docs, labels, label, id_col, text_col, max_rows), "toxic-sample"))
+    sample = staged(without_copies(staged(labelled(docs, labels, label, id_col, text_col, max_rows), "toxic-sample")), "toxic-rows")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows = {0: Counter(), 1: Counter()}, Counter()
@@ -134,7 +155,7 @@ def fit_lexicon(
         )
 
     counted = sample.mapInArrow(count, "term string, toxic long, clean long")
-    terms = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    terms = staged(counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-terms")
     total = terms.filter("term = ''").collect()
     if not total:
         return {}, []
@@ -151,14 +172,22 @@ def fit_lexicon(
         covers = term.endswith("*") and any(t.startswith(body) for t in lexicon)
         if not covered and not covers and body not in lexicon:
             lexicon[term] = rows[term]
-    # What an entry matches in clean rows and never in toxic ones is an exception.
-    prefixes = sorted({t.rstrip("*") for t in lexicon if t.endswith("*")})
-    if not prefixes:
-        return lexicon, []
-    begins = F.substring("term", 1, MIN_PREFIX).isin(sorted({p[:MIN_PREFIX] for p in prefixes}))
-    spared = terms.filter(begins & ~F.col("term").endswith("*") & (F.col("toxic") == 0)).select("term").limit(max_entries)
-    exceptions = sorted(r["term"] for r in spared.collect() if any(r["term"].startswith(p) for p in prefixes))
-    return lexicon, exceptions
+    scorer = ToxicityScorer(lexicon)
+
+    def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {0: Counter(), 1: Counter()}
+        for b in batches:
+            for text, mark in zip(b["text"].to_pylist(), b["label"].to_pylist()):
+                seen[int(mark)].update(scorer.phrases(fold(text)))
+        found = list(seen[0].keys() | seen[1].keys())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found, pa.string())] + [pa.array([seen[k][t] for t in found], pa.int64()) for k in (1, 0)], ["phrase", "toxic", "clean"]
+        )
+
+    phrases = sample.mapInArrow(context, "phrase string, toxic long, clean long")
+    phrases = phrases.groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    spared = phrases.filter((F.col("toxic") == 0) & (F.col("clean") >= min_rows)).orderBy(F.desc("clean"), "phrase").limit(max_entries)
+    return lexicon, sorted(r["phrase"] for r in spared.collect())
 
 
 def toxicity_scores(

@@ -52,12 +52,37 @@ def test_exact_dedup_awkward(spark):
     assert exact_dedup.first_copies(docs(spark)).count() == 5
 
 
-def test_directory_doubles_until_buckets_fit():
-    histogram = {k: 1 for k in range(16)} | {0: 100}
-    directory = exact_dedup.grow_directory(histogram, 4, 4)
-    assert sum(n for _, _, n in directory) == sum(histogram.values())
-    assert all(n <= 4 or d == 4 for _, d, n in directory)
-    assert sorted(s for p, d, _ in directory for s in range(p << 4 - d, (p + 1) << 4 - d)) == list(range(16))
+def test_directory_doubles_until_buckets_fit(spark):
+    buckets, overfull = exact_dedup.split_buckets({k: 1 for k in range(1, 16)} | {0: 100}, 0, 4, 4)
+    assert overfull == [0]
+    assert sorted([0] + [s for p, d in buckets for s in range(p << 4 - d, (p + 1) << 4 - d)]) == list(range(16))
+    close = [(k << 20) + j for k in (5, -5) for j in range(6)] + [1 << 62, -1]
+    keys = spark.createDataFrame([(h,) for h in close], "h long")
+    for capacity in (1, 100):
+        directory = exact_dedup.grow_directory(keys, capacity)
+        held = [sum((h & (1 << 64) - 1) >> 64 - d == p for h in close) for p, d in directory]
+        assert sum(held) == len(close) and max(held) <= capacity
+        index = exact_dedup.build_index(keys, capacity).collect()
+        assert len(index) == len(close) and all(
+            (r["h"] & (1 << 64) - 1) >> 64 - directory[r["bucket"]][1] == directory[r["bucket"]][0] for r in index
+        )
+
+
+def test_colliding_hashes_are_told_apart_by_their_bytes(spark, monkeypatch):
+    rows = [(k, "ab"[k % 2] * (1 + k % 3), "en", "s", 0) for k in range(30)]
+    real = F.xxhash64
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda c: F.length(c).cast("long") if c == "norm" else real(c))
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs(spark, rows)).collect()}
+    assert got == {k: (k % 6, 5) for k in range(30)}
+
+
+def test_first_copies_decide_by_row(spark):
+    rows = [(0, "a", "en", "s", 1), (1, "a", None, None, None), (1, "b", "en", "s", 1), (None, "a", "en", "s", 1), (None, "z", "en", "s", 1)]
+    d = clashing(docs(spark, rows))
+    kept = exact_dedup.first_copies(d)
+    assert kept.columns == d.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("0", "a"), ("1", "b"), ("None", "z")]
+    assert exact_dedup.first_copies(docs(spark, [])).count() == 0
 
 
 def test_mix_meets_targets(spark):
@@ -99,20 +124,49 @@ def brute_components(rows):
     return {i: (len(s), root(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("full_run", [1, 4, 48])
-def test_jaccard_against_brute_force(spark, full_run):
-    rng = random.Random(full_run)
-    rows, n = [], 0
-    for _ in range(14):
+def near_copies(rng, families):
+    """Texts with edited copies; the last family is large, its members edited at one to six places each."""
+    rows = []
+    for k in range(families):
         base = [rng.choice("abcdefgh") + str(rng.randint(0, 60)) for _ in range(rng.choice([3, 6, 30, 80]))]
-        for _ in range(rng.choice([1, 2, 9])):
+        base = base if k < families - 1 else [f"w{j}" for j in range(90)]
+        for _ in range(rng.choice([1, 2, 9]) if k < families - 1 else 40):
             words = list(base)
-            for _ in range(rng.choice([0, 0, 1, 2])):
+            for _ in range(rng.choice([0, 0, 1, 2]) if k < families - 1 else rng.randint(1, 4)):
                 words[rng.randrange(len(words))] = "edit" + str(rng.randint(0, 99))
-            rows.append((n, " ".join(words) + rng.choice(["", " ", " tail"]), "en", "s", 0))
-            n += 1
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs(spark, rows), full_run=full_run).collect()}
-    assert got == brute_components(rows)
+            rows.append((len(rows), " ".join(words) + rng.choice(["", " ", " tail"]), "en", "s", 0))
+    return rows
+
+
+@pytest.mark.parametrize("full_run, hot_bits", [(1, 16), (1, 0), (4, 1), (48, 16)])
+def test_jaccard_against_brute_force(spark, full_run, hot_bits):
+    rows = near_copies(random.Random(full_run + hot_bits), 14)
+    found = jaccard.jaccard_components(docs(spark, rows), full_run=full_run, hot_bits=hot_bits).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
+
+
+def test_jaccard_of_groups_with_one_prefix(spark, monkeypatch):
+    """With one class for all shingles and few of them in a prefix, many sets share theirs."""
+    monkeypatch.setattr(jaccard, "frequency_classes", lambda counts: np.zeros(len(counts), np.uint8))
+    monkeypatch.setattr(jaccard, "shingles", lambda text, memo, words: np.unique(np.array([int(w) for w in (text or "").split()], np.uint64)))
+    rng = random.Random(2)
+    first = [1, 2, 3, 4]
+    rows = [(k, " ".join(map(str, [*first, *rng.sample(range(10 + 10 * (k % 3), 26 + 10 * (k % 3)), 8)])), "en", "s", 0) for k in range(60)]
+    rows += [(60 + k, " ".join(map(str, [*first[:2], 5, *rng.sample(range(10, 26), 9)])), "en", "s", 0) for k in range(30)]
+    sets = {i: set(t.split()) for i, t, *_ in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for a in sets:
+        for b in sets:
+            if a < b and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    for full_run in (1, 5):
+        found = jaccard._components(docs(spark, rows).withColumn("th", F.xxhash64("text")), full_run=full_run).collect()
+        assert {r["doc_id"]: r["keeper"]["doc_id"] if r["keeper"] else r["doc_id"] for r in found} == {i: root(i) for i in sets}
 
 
 def test_jaccard_awkward(spark):
@@ -121,12 +175,24 @@ def test_jaccard_awkward(spark):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows}
     assert {(1, 1, 1), (2, 1, 1), (None, 1, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (7, 1, 7), (8, 1, 8)} == got
     assert jaccard.jaccard_components(docs(spark, [])).count() == 0
-    assert sorted(str(r["doc_id"]) for r in jaccard.one_per_component(docs(spark)).collect()) == ["1", "3", "4", "5", "7", "8", "None"]
+    assert sorted(str(r["doc_id"]) for r in jaccard.one_per_component(docs(spark)).collect()) == ["1", "3", "4", "5", "7", "8"]
+
+
+def test_one_per_component_decides_by_row(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a, "en", "s", 0), (5, a + " more", "en", "s", 0), (5, b, "en", "s", 0), (None, b + " more", "en", "t", 0), (None, a + " x", "en", "s", 0)]
+    rows += [(None, "one two three", "en", "s", 0), (None, "ONE two three", "en", "s", 0), (5, "c d", None, None, None)]
+    d = clashing(docs(spark, rows))
+    kept = jaccard.one_per_component(d)
+    assert kept.columns == d.columns
+    kept = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(kept) == 4 and {(1, a), (5, b), (5, "c d")} < set(kept) and sum(t.lower() == "one two three" for _, t in kept) == 1
+    assert jaccard.one_per_component(docs(spark, [])).count() == 0
 
 
 def test_prefix_entries_survive_packing():
     e = np.empty(5, jaccard._ENTRY)
-    e["hash"], e["group"], e["size"], e["at"] = [1, 2, 1 << 63, 4, 5], [7, 7, -8, 9, 9], [3, 3, 4, 70_000, 70_000], [0, 1, 2, 66_000, 4]
+    e["key"], e["group"], e["size"], e["at"] = [1, 2, (1 << 40) - 1, 4, 5], [7, 7, (1 << 48) - 1, 9, 9], [3, 3, 4, 70_000, 1 << 31], [0, 1, 2, 66_000, 4]
     assert (jaccard.unpack_entries(jaccard.pack_entries(e)) == e).all()
 
 
@@ -151,9 +217,8 @@ def brute_suffix(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [2, 256])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("hot", [0, 2, 256])
+def test_suffix_dedup_against_brute_force(spark, hot):
     rng = random.Random(5)
     passage = "".join(rng.choice("abcdé \n") for _ in range(260))
     texts = [None, "", "x" * 500, "ab" * 150, passage, passage]
@@ -162,7 +227,7 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot):
         k = rng.randint(0, 100)
         texts.append(t + passage[k : k + rng.randint(20, 160)] + t[:30])
     rows = [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(clashing(docs(spark, rows)), length=60).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(clashing(docs(spark, rows)), length=60, hot=hot).collect()}
     assert [got[k] for k in range(len(texts))] == brute_suffix(texts, 60)
     spans = suffix_dedup.suffix_dedup(docs(spark, rows), length=60, with_text=True).filter("doc_id = 4").collect()[0]
     assert [(s["s"], s["e"]) for s in spans["spans"]] == [(0, len(passage.encode()))] and spans["kept"] == b""

@@ -102,7 +102,7 @@ def breaking_changes(spark, sf):
     return evolution.breaking_changes(_log(spark, sf))
 
 
-@query(f"WITH {LOG} SELECT DISTINCT name, depends_on FROM (SELECT name, lag(name) OVER (PARTITION BY table_name ORDER BY seq, name) AS depends_on FROM log) WHERE depends_on IS NOT NULL")
+@query(f"WITH {LOG} SELECT DISTINCT a.name, b.name AS depends_on FROM log a JOIN log b ON a.table_name = b.table_name AND (b.seq, b.name) < (a.seq, a.name) AND a.name <> b.name")
 def migration_dependencies(spark, sf):
     return evolution.dependencies(_log(spark, sf))
 
@@ -150,8 +150,17 @@ def operations_by_type(spark, sf):
     return _log(spark, sf).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {LOG} SELECT seq, name, op, table_name FROM log WHERE seq < 500")
+@query(f"""WITH {LOG}, back AS (SELECT seq, name, 'Down' AS direction, 'Sql' AS op, 'undo ' || seq AS table_name, NULL AS column_name FROM log)
+SELECT seq, name, 'Up' AS direction, op, table_name, CASE WHEN op LIKE '%Column' THEN 'c' || seq END AS column_name FROM log UNION ALL SELECT * FROM back""")
 def parse_migrations(spark, sf):
-    call = F.when(F.col("op").endswith("Table"), F.lit("name")).otherwise(F.lit("table"))
-    files = _log(spark, sf).select("seq", "name", F.format_string('m.%s( %s: "%s", x: "y");', "op", call, "table_name").alias("text"))
-    return evolution.parse_steps(files)
+    log = _log(spark, sf)
+    up = F.when(F.col("op").endswith("Table"), F.format_string('b.%s( name: "%s", x: "y");', "op", "table_name"))
+    up = up.when(F.col("seq") % 2 == 0, F.format_string('b.%s(name: "c%d", table: \'%s\');', "op", "seq", "table_name"))
+    up = up.otherwise(F.format_string('b.%s( table: "%s", name: "c%d");', "op", "table_name", "seq"))
+    text = F.format_string('void Up(b) {\n%s }\nvoid Down(b) { b.Sql("undo %d"); }', up, "seq")
+    return evolution.parse_steps(log.select("seq", "name", text.alias("text")))
+
+
+@query(f"WITH {LOG}, m AS (SELECT table_name, min(seq) AS made FROM log WHERE op = 'CreateTable' GROUP BY 1) SELECT seq, name, op, table_name, made FROM log JOIN m USING (table_name) WHERE op <> 'CreateTable' AND made < seq")
+def implicit_dependencies(spark, sf):
+    return evolution.implicit_dependencies(_log(spark, sf))

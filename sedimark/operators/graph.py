@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from sedimark.storage import staged
 
 WORDS = 8
+#: Rounds after which what a search has seen is written as one table, so that its plan stays short.
+SEEN_ROUNDS = 16
 
 
 def _directed(edges: DataFrame, direction: str) -> DataFrame:
@@ -24,7 +26,7 @@ def _directed(edges: DataFrame, direction: str) -> DataFrame:
 
 def reachable(edges: DataFrame, start: DataFrame, direction: str = "forward", max_depth: int = 10) -> DataFrame:
     """(node, depth): nodes within ``max_depth`` steps of ``start`` (node) and the fewest steps, start at 0."""
-    step = _directed(edges, direction)
+    step = staged(_directed(edges, direction), "reach-edges")
     seen = staged(start.select("node", F.lit(0).alias("depth")).distinct(), "reach")
     frontier = seen
     for depth in range(1, max_depth + 1):
@@ -33,6 +35,8 @@ def reachable(edges: DataFrame, start: DataFrame, direction: str = "forward", ma
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % SEEN_ROUNDS == 0:
+            seen = staged(seen, "reach")
     return seen
 
 
@@ -48,7 +52,7 @@ def call_chain_sql(edges_view: str, start: int, max_depth: int) -> str:
 
 def simple_paths(edges: DataFrame, start: DataFrame, max_depth: int, end: DataFrame | None = None) -> DataFrame:
     """(path, steps): simple paths from ``start`` of 1 to ``max_depth`` steps, to ``end`` (node) if given."""
-    step = _directed(edges, "forward")
+    step = staged(_directed(edges, "forward"), "path-edges")
     frontier = start.select(F.array("node").alias("path")).distinct()
     out = None
     for steps in range(1, max_depth + 1):
@@ -69,7 +73,7 @@ def shortest_paths(edges: DataFrame, start: DataFrame, end: DataFrame, max_depth
 
 def cycles(edges: DataFrame, max_length: int = 3) -> DataFrame:
     """(path, length): cycles of up to ``max_length`` nodes, each once, beginning at its smallest node."""
-    step = _directed(edges, "forward")
+    step = staged(_directed(edges, "forward"), "cycle-edges")
     loops = step.filter("src = dst").select(F.array("src").alias("path"), F.lit(1).alias("length"))
     frontier = step.filter("src < dst").select(F.array("src", "dst").alias("path"))
     out = loops
@@ -179,6 +183,39 @@ def only_used_by(edges: DataFrame, users: DataFrame) -> DataFrame:
     return marked.groupBy(F.col("dst").alias("node")).agg(F.bool_and(F.coalesce("is_user", F.lit(False))).alias("all_in"), F.count(F.lit(1)).alias("uses")).filter("all_in").drop("all_in")
 
 
+def critical_neighbours(edges: DataFrame, nodes: int = 5, neighbours: int = 3) -> DataFrame:
+    """(node, neighbour): for the nodes with most edges, up to ``neighbours`` of what they are joined to, the least first."""
+    e = _directed(edges, "forward")
+    total = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    chosen = total.orderBy(F.desc("n"), "node").limit(nodes).select("node")
+    both = e.select(F.col("src").alias("node"), F.col("dst").alias("neighbour")).unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("neighbour")))
+    met = both.join(F.broadcast(chosen), "node").distinct()
+    return met.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("neighbour")), 1, neighbours).alias("few")).select("node", F.explode("few").alias("neighbour"))
+
+
+def longest_depths(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(node, depth): steps of the longest way from each node along edges without cycles; 0 for leaves.
+
+    Each round settles the nodes all of whose targets are settled, the leaves first, and raises if a cycle leaves none.
+    """
+    left = staged(_directed(edges, "forward"), "depths")
+    inner = left.select(F.col("src").alias("node"))
+    ready = left.select(F.col("dst").alias("node")).subtract(inner).withColumn("depth", F.lit(0))
+    done = ready = staged(ready, "depths")
+    best = left.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("open"))
+    for depth in range(1, max_rounds + 1):
+        met = left.join(ready.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        best = staged(best.join(met, "node", "left").select("node", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open")), "depths")
+        ready = best.filter("open = 0").select("node", F.lit(depth).alias("depth"))
+        if ready.isEmpty():
+            break
+        best = best.filter("open > 0")
+        done = done.unionByName(ready)
+    if not best.isEmpty():
+        raise ValueError("the edges have a cycle")
+    return done
+
+
 def two_hop(edges: DataFrame) -> DataFrame:
     """(src, via, dst): indirect edges through one other node, without direct ones."""
     e = _directed(edges, "forward")

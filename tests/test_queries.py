@@ -12,11 +12,11 @@ def con():
     return connect(SMALL)
 
 
-def test_every_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+def test_every_query_has_sql_or_a_brute_force_test():
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"average_path_length"}
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_sql(spark, con, name):
     same(registry.queries()[name](spark, SMALL), con, registry.oracle_sql()[name])
 

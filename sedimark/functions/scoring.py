@@ -42,6 +42,18 @@ def maintainability(volume: Column, cyclomatic: Column, length: Column) -> Colum
     return F.when(volume == 0, 100.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)))
 
 
+def refactoring_priority(copies: Column, lines: Column, complexity: Column) -> Column:
+    """Points for copies, lines and complexity, each up to a bound, as a tier."""
+    points = F.least(copies * 10, F.lit(50)) + F.least(lines * 2, F.lit(30)) + F.least(complexity * 5, F.lit(20))
+    return tier(points, [(40, "Low"), (60, "Medium"), (80, "High")], "Critical", inclusive=False)
+
+
+def refactoring_risk(copies: Column, public: Column, complexity: Column, files: Column) -> Column:
+    """Points for many copies, public use, complexity and spread over files, as a tier."""
+    points = sum((F.when(c, p).otherwise(0) for c, p in ((copies > 5, 20), (public, 15), (complexity > 10, 15), (files > 3, 10))), F.lit(0))
+    return tier(points, [(20, "Low"), (30, "Medium"), (40, "High")], "VeryHigh", inclusive=False)
+
+
 def duplication_impact(lines: Column, copies: Column, complexity: Column, similarity: Column) -> Column:
     """Mean of four scores held to 1: upkeep, reading, running and testing."""
     upkeep = copies * complexity * similarity / 50.0

@@ -46,6 +46,24 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longer)
 
 
+def token_types(source: Column) -> Column:
+    """One sign a token: ``q`` quoted, ``i`` identifier or keyword, ``0`` number, others as they are; no white space."""
+    out = F.regexp_replace(source, r'"[^"]*"', "\u0001")
+    out = F.regexp_replace(F.regexp_replace(out, r"[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z0-9_\x{80}-\x{10FFFF}]*", "i"), "[0-9]+", "0")
+    return F.regexp_replace(F.regexp_replace(out, "[ \t\n\x0b\f\r]+", ""), "\u0001", "q")
+
+
+def token_similarity(a: Column, b: Column) -> Column:
+    """Edit similarity of two sequences of token types: 1 where both are empty, 0 where one is."""
+    return similarity(token_types(a), token_types(b))
+
+
+def semantic_similarity(kind: tuple[Column, Column], container: tuple[Column, Column], namespace: tuple[Column, Column]) -> Column:
+    """By what two blocks share: 0 where kinds differ, 0.9 in one type, 0.7 in one namespace, 0.5 otherwise."""
+    shared = F.when(container[0].eqNullSafe(container[1]), 0.9).when(namespace[0].eqNullSafe(namespace[1]), 0.7).otherwise(0.5)
+    return F.when(kind[0].eqNullSafe(kind[1]), shared).otherwise(0.0)
+
+
 def structural_similarity(a: Column, b: Column) -> Column:
     """Share of equal positions of two arrays of one length; 0 where lengths differ, 1 where both are empty."""
     equal = F.aggregate(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y).cast("int")), F.lit(0), lambda s, x: s + x)

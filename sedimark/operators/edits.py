@@ -67,6 +67,13 @@ def _overlaps(edits: DataFrame, *columns: str) -> DataFrame:
     return met.filter(F.col("bin") == F.floor(F.greatest("a_start", "b_start") / F.col("width")))
 
 
+def fix_statistics(edits: DataFrame, kept: DataFrame) -> DataFrame:
+    """(path, proposed, kept, dropped): edits of each file before and after conflicts are resolved."""
+    marked = edits.select("id", "path").join(kept.select("id", F.lit(1).alias("k")), "id", "left")
+    counted = marked.groupBy("path").agg(F.count(F.lit(1)).alias("proposed"), F.count("k").alias("kept"))
+    return counted.withColumn("dropped", F.col("proposed") - F.col("kept"))
+
+
 def conflicts(edits: DataFrame) -> DataFrame:
     """Pairs of edits (id, path, start, end) of one file whose ranges overlap; touching counts."""
     return _overlaps(edits).select("path", "a_id", "b_id")
@@ -81,6 +88,17 @@ def conflict_counts(edits: DataFrame) -> DataFrame:
     return across.unionByName(within).groupBy("path").agg(F.sum("pairs").alias("pairs"))
 
 
+def resolve_conflicts(edits: DataFrame, prefer: str = "older") -> DataFrame:
+    """Edits (id, path, start, end, made_at) that stay of those that overlap.
+
+    ``older`` and ``newer`` drop an edit that overlaps one made before or after it; ``none`` drops all that overlap.
+    """
+    pairs = _overlaps(edits, "made_at")
+    first = F.struct("a_made_at", "a_id") < F.struct("b_made_at", "b_id")
+    lost = {"older": F.array(F.when(first, F.col("b_id")).otherwise(F.col("a_id"))), "newer": F.array(F.when(first, F.col("a_id")).otherwise(F.col("b_id"))), "none": F.array("a_id", "b_id")}
+    return edits.join(pairs.select(F.explode(lost[prefer]).alias("id")), "id", "left_anti")
+
+
 def preview(files: DataFrame, pattern: str) -> DataFrame:
     """path, match_no, match_text of every match, without changing anything."""
     found = F.regexp_extract_all("text", F.lit(f"(?m)({pattern})"), F.lit(1))

@@ -165,7 +165,7 @@ def duplication_impact(spark, sf):
     return duplicates.impact(duplicates.exact_groups(_blocks(spark, sf)))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), s AS (SELECT a.name AS a, b.name AS b, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) AS similarity FROM n a JOIN n b ON a.name < b.name AND length(a.name) = length(b.name) AND right(a.name, 4) = right(b.name, 4))
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), s AS (SELECT a.name AS a, b.name AS b, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) AS similarity FROM n a JOIN n b ON a.name < b.name)
 SELECT a, b, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.8""")
 def similar_methods(spark, sf):
     names = table(spark, sf, "part").select(F.col("p_name").alias("name"))
@@ -184,9 +184,10 @@ def compare_code_blocks(spark, sf):
     return duplicates.compare(a, b).withColumns({c: F.round(c, 6) for c in ("structural", "combined")})
 
 
-@query(r"""WITH ascii AS (SELECT page_id, regexp_replace(html, '[^\x00-\x7F]', '', 'g') AS html FROM pages) SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)/\*.*?\*/', '', 'g'), '(?m)//.*$', '', 'g'), '\s+', ' ', 'g'), '\b[a-zA-Z_][a-zA-Z0-9_]*\b', 'IDENTIFIER', 'g'))) AS hash FROM ascii""")
+@query(r"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)/\*.*?\*/', '', 'g'), '(?m)//.*$', '', 'g'), '\s+', ' ', 'g') AS code FROM pages)
+SELECT page_id, sha256(trim(array_to_string(list_transform(regexp_extract_all(code, '[\p{L}\p{Nd}_]+|[^\p{L}\p{Nd}_]+'), lambda t: CASE WHEN regexp_full_match(t, '[a-zA-Z_][a-zA-Z0-9_]*') THEN 'IDENTIFIER' ELSE t END), ''))) AS hash FROM c""")
 def normalised_code_hash(spark, sf):
-    return _ascii(spark, sf).select("page_id", F.sha2(text.normalise_code(F.col("html")), 256).alias("hash"))
+    return table(spark, sf, "pages").select("page_id", F.sha2(text.normalise_code(F.col("html")), 256).alias("hash"))
 
 
 @query("""SELECT doc_id, len(list_intersect(list_distinct(string_split(text, ' ')), ['the', 'of', 'der', 'les', 'que'])) AS shared FROM documents""")
@@ -213,7 +214,7 @@ def bulk_edit_summary(spark, sf):
     return edits.edit_summary(edits.bulk_replace(files(spark, sf), PATTERN, "<$1>"))
 
 
-@query(f"WITH {FI}, m AS (SELECT path, regexp_extract_all(text, '{PATTERN}') AS m FROM files WHERE id < 50) SELECT path, CAST(unnest(generate_series(0, len(m) - 1)) AS INT) AS match_no, unnest(m) AS match_text FROM m")
+@query(f"WITH {FI}, m AS (SELECT path, regexp_extract_all(text, '{PATTERN}') AS m FROM files) SELECT path, CAST(unnest(generate_series(0, len(m) - 1)) AS INT) AS match_no, unnest(m) AS match_text FROM m")
 def preview_bulk_changes(spark, sf):
     return edits.preview(files(spark, sf), PATTERN)
 
@@ -232,15 +233,15 @@ def multi_file_edit(spark, sf):
     return done.select("path", "changed", F.sha2("new_text", 256).alias("hash"))
 
 
-@query(f"WITH {FI} SELECT path, sha256(substr(text, 1, 2) || 'AA' || substr(text, 6, 5) || 'B' || substr(text, 13)) AS hash FROM files WHERE length(text) > 20")
+@query(f"WITH {FI} SELECT path, sha256(substr(text, 1, 2) || 'AA' || substr(text, 6, 5) || 'B' || substr(text, 13)) AS hash FROM files")
 def apply_edits(spark, sf):
-    f = files(spark, sf).filter("length(text) > 20")
+    f = files(spark, sf)
     made = [f.select("path", F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(n).alias("new")) for a, b, n in ((2, 5, "AA"), (10, 12, "B"))]
     return edits.apply_edits(f, made[0].unionByName(made[1])).select("path", F.sha2("new_text", 256).alias("hash"))
 
 
 INTERVALS = """i AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS id, CAST(l_suppkey AS VARCHAR) AS path,
-CAST(epoch(l_shipdate) / 86400 AS INT) AS s FROM lineitem WHERE l_orderkey < 200)"""
+CAST(epoch(l_shipdate) / 86400 AS INT) AS s FROM lineitem)"""
 
 
 @query(f"WITH {INTERVALS} SELECT a.path, count(*) AS pairs FROM i a JOIN i b ON a.path = b.path AND a.id < b.id AND a.s <= b.s + 30 AND b.s <= a.s + 30 GROUP BY a.path")
@@ -275,22 +276,20 @@ def diff_preview(spark, sf):
 
 # ---------------------------------------------------------------- metrics
 
-#: Word boundaries are Unicode in one engine and ASCII in the other, so these queries look at ASCII text.
-ASCII = "ascii AS (SELECT page_id, regexp_replace(html, '[^\\x00-\\x7F]', '', 'g') AS html FROM pages)"
-CODE = ASCII + r""", c AS (SELECT page_id, len(string_split(html, chr(10))) AS n_lines, length(html) AS n_chars, len(regexp_extract_all(html, '(\+|-|\*|/|%|=|==|!=|<|>|<=|>=|&&|\|\||!|\+\+|--)')) AS operators,
-len(regexp_extract_all(html, '\b[a-zA-Z_][a-zA-Z0-9_]*\b')) AS operands, 1 + len(regexp_extract_all(html, '\b(if|for|while|case|catch)\b')) AS cyclomatic FROM ascii)"""
-OPERATORS = r"(\+|-|\*|/|%|=|==|!=|<|>|<=|>=|&&|\|\||!|\+\+|--)"
-
-
-def _ascii(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.regexp_replace("html", r"[^\x00-\x7F]", "").alias("html"))
+# What counts as an operator; the first that matches at a place counts, so two-character ones count as two.
+OPERATOR_SIGNS = ["+", "-", "*", "/", "%", "=", "==", "!=", "<", ">", "<=", ">=", "&&", "||", "!", "++", "--"]
+OPERATORS = "|".join("".join(f"\\{c}" if c in "+*|" else c for c in sign) for sign in OPERATOR_SIGNS)
+#: Word boundaries are Unicode in one engine and ASCII in the other, so the SQL takes words apart and looks at each.
+CODE = rf"""w AS (SELECT page_id, html, regexp_extract_all(html, '[\p{{L}}\p{{Nd}}_]+') AS words FROM pages),
+c AS (SELECT page_id, len(string_split(html, chr(10))) AS n_lines, length(html) AS n_chars, len(regexp_extract_all(html, '{OPERATORS}')) AS operators,
+len(list_filter(words, lambda x: regexp_full_match(x, '[a-zA-Z_][a-zA-Z0-9_]*'))) AS operands, 1 + len(list_filter(words, lambda x: x IN ('if', 'for', 'while', 'case', 'catch'))) AS cyclomatic FROM w)"""
 
 
 def _code(spark, sf):
     def n(p):
         return F.regexp_count("html", F.lit(p)).cast("long")
 
-    return _ascii(spark, sf).select(
+    return table(spark, sf, "pages").select(
         "page_id", F.size(F.split("html", "\n", -1)).cast("long").alias("n_lines"), F.length("html").alias("n_chars"), n(OPERATORS).alias("operators"),
         n(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b").alias("operands"), (1 + n(r"\b(if|for|while|case|catch)\b")).alias("cyclomatic"),
     )

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimark.storage import staged
+
 # Parts of a key that mark it as sensitive.
 SENSITIVE = (
     "password", "secret", "token", "key", "connectionstring", "apikey", "api_key", "privatekey", "private_key", "certificate",
@@ -25,7 +27,10 @@ def flatten(documents: DataFrame, max_depth: int = 8) -> DataFrame:
     level = documents.select("doc", F.lit(None).cast("string").alias("key"), F.try_parse_json("content").alias("v")).filter("v is not null")
     leaves = []
     for depth in range(max_depth + 1):
-        kinds = level.withColumn("kind", F.schema_of_variant("v"))
+        # Each level is written once, so documents are parsed once however deep they are.
+        kinds = staged(level.withColumn("kind", F.schema_of_variant("v")), "config-level")
+        if depth and kinds.isEmpty():
+            break
         nested = F.col("kind").rlike("^(OBJECT|ARRAY)<[^>]")
         if depth < max_depth:
             leaves.append(kinds.filter(~nested))

@@ -6,7 +6,7 @@ pass, so only blocks of one kind and length are compared, and equal hashes are c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.functions.scoring import duplication_impact, impact_tier
@@ -46,7 +46,17 @@ def near_pairs(blocks: DataFrame, threshold: float = 0.8) -> DataFrame:
     cut = staged(one.select("id", "group_key", "n_lines", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")), "near-lines")
     a = cut.select(F.col("id").alias("a"), "group_key", "n_lines", "at", F.xxhash64("line").alias("h"))
     b = a.withColumnRenamed("a", "b")
-    met = a.join(b, ["group_key", "n_lines", "at", "h"]).filter("a < b").groupBy("a", "b", "n_lines").agg(F.count(F.lit(1)).alias("equal"))
+    # Of n lines a pair shares at least the threshold's part, so each block may leave out its most frequent lines but
+    # for one more than it may miss: a pair that meets must share one of the others. Counts are taken on what meets there.
+    order = staged(a.groupBy("group_key", "n_lines", "at", "h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "near-frequent")
+    places = a.join(order, ["group_key", "n_lines", "at", "h"])
+    rare = places.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("k", "at")))
+    shared = places.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
+    least = F.ceil(F.lit(threshold) * F.col("n_lines") - F.lit(1e-9))
+    rare = rare.join(shared, "a").filter((F.col("m") >= least) & (F.col("rank") <= F.col("m") - least + 1)).select("a", "group_key", "n_lines", "at", "h")
+    found = rare.join(rare.withColumnRenamed("a", "b"), ["group_key", "n_lines", "at", "h"]).filter("a < b").select("a", "b", "n_lines").distinct()
+    met = found.join(places.select("a", "at", "h"), "a").join(places.select(F.col("a").alias("b"), "at", "h"), ["b", "at", "h"])
+    met = met.groupBy("a", "b", "n_lines").agg(F.count(F.lit(1)).alias("equal"))
     return met.select("a", "b", (F.col("equal") / F.col("n_lines")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 

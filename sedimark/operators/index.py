@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimark.storage import staged
+
 
 def find_callers(references: DataFrame, symbols: DataFrame, symbol_id: int) -> DataFrame:
     """Symbols that refer to ``symbol_id``, with the reference's kind and place."""
@@ -82,6 +84,16 @@ def deleted_files(stored: DataFrame, current: DataFrame) -> DataFrame:
     return stored.join(current.select("path"), "path", "left_anti")
 
 
+def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``_rank`` from 1 in an order without ties, counted within ranges of the order and shifted by the ranges before."""
+    parts = staged(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    # One row a range: as many as the shuffle has partitions.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_rank", local).join(F.broadcast(shifts), "_part").withColumn("_rank", F.col("_rank") + F.col("_shift")).drop("_part", "_shift")
+
+
 def upsert(stored: DataFrame, incoming: DataFrame, key: list[str], id_col: str | None = None) -> DataFrame:
     """``stored`` with the rows of ``incoming`` put in by ``key``; ids stay on update and continue on insert."""
     values = [c for c in stored.columns if c not in key and c != id_col]
@@ -92,8 +104,7 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: list[str], id_col: str |
         return met.select(*key, *changed)
     # New ids follow the largest: ranks of inserted keys only, and of those just the ones of this batch.
     top = stored.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    inserted = incoming.join(stored, key, "left_anti").select(*key).distinct()
-    ranks = inserted.withColumn("_rank", F.row_number().over(Window.orderBy(*key)))
+    ranks = ranked(incoming.join(stored, key, "left_anti").select(*key).distinct(), key)
     met = met.join(ranks, key, "left").join(F.broadcast(top))
     return met.select(F.coalesce(F.col(id_col), F.col("_top") + F.col("_rank")).alias(id_col), *key, *changed)
 

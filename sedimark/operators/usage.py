@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+PARTS = 32
+
+
 def union_first(sources: list[DataFrame], key: str = "path") -> DataFrame:
     """Rows of several sources, one per key without case: that of the first source, then the smallest ``seq``."""
     tagged = [s.withColumn("source_no", F.lit(k)) for k, s in enumerate(sources)]
@@ -30,9 +33,13 @@ def top(table: DataFrame, by: str, tie: str, k: int = 10, descending: bool = Tru
 
 def top_per_group(table: DataFrame, group: str, by: str, tie: str, k: int) -> DataFrame:
     """The first k of each group, with how many more the group has."""
-    w = Window.partitionBy(group).orderBy(F.desc(by), tie)
-    ranked = table.withColumns({"place": F.row_number().over(w), "more": F.count(F.lit(1)).over(Window.partitionBy(group)) - k})
-    return ranked.filter(F.col("place") <= k).withColumn("more", F.greatest("more", F.lit(0)))
+    counts = table.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    # First within parts of each group, then among what these leave: no task ranks a whole group.
+    few = table.withColumn("_part", F.pmod(F.xxhash64(tie), F.lit(PARTS)))
+    for keys in ([group, "_part"], [group]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(by), tie))
+        few = few.withColumn("place", place).filter(F.col("place") <= k)
+    return few.join(counts, group).withColumn("more", F.greatest(F.col("_n") - k, F.lit(0))).drop("_part", "_n")
 
 
 def call_patterns(references: DataFrame, symbols: DataFrame, symbol_id: int) -> DataFrame:

@@ -31,7 +31,7 @@ def read_binary(spark: SparkSession, root: str, pattern: str = "*", largest: int
 
 def read_text(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """path, text of whole files."""
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    found = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 

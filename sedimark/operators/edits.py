@@ -45,10 +45,13 @@ def multi_edit(files: DataFrame, steps: list[tuple[int, str, str]]) -> DataFrame
 
 
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """files with the edits (path, start, end, new) put in, from the last to the first; offsets in characters from 0."""
+    """files with the edits (path, start, end, new) put in, from the last to the first; offsets in characters from 0.
+
+    An edit beyond the end of its text appends.
+    """
     listed = edits.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "end", "new")), asc=False).alias("edits"))
     folded = F.aggregate(
-        "edits", F.col("text"), lambda t, e: F.concat(F.substring(t, F.lit(1), e["start"]), e["new"], F.substring(t, e["end"] + 1, F.length(t)))
+        "edits", F.col("text"), lambda t, e: F.concat(F.substring(t, F.lit(1), e["start"]), e["new"], F.substring(t, F.least(e["end"], F.length("text")) + 1, F.length(t)))
     )
     return files.join(listed, "path", "left").withColumn("new_text", F.coalesce(F.when(F.col("edits").isNotNull(), folded), F.col("text"))).drop("edits")
 

@@ -94,6 +94,7 @@ def parse_workflows(files: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import yaml
 
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string())]
         step = pa.struct([(c, pa.string()) for c in ("name", "uses", "run")])
         kinds += [pa.list_(pa.struct([("name", pa.string()), ("runs_on", pa.string()), ("steps", pa.list_(step))])), pa.list_(pa.string())]
@@ -101,7 +102,7 @@ def parse_workflows(files: DataFrame) -> DataFrame:
             rows = []
             for path, text in zip(b["path"].to_pylist(), b["text"].to_pylist()):
                 try:
-                    doc = yaml.safe_load(text or "")
+                    doc = yaml.load(text or "", Loader=loader)
                 except yaml.YAMLError:
                     continue
                 if not isinstance(doc, dict):

@@ -44,7 +44,7 @@ LENGTH = 400
 GRAM = 24
 MAX_PERIOD = 12
 CHUNK = 3 << 18
-HOT = 256
+HOT = 8192
 TEXT_CHUNK = 1 << 19
 FIRST = 8
 _POSITION_BITS = 24

@@ -96,12 +96,14 @@ def test_toxicity_counts_words_between_any_white_space():
 
 
 def test_exception_phrases_have_words_around_a_match(spark):
-    rows = [(k, f"total idiot number{'abcdefghij'[k]}", "en", "s", 0) for k in range(6)]
-    rows += [(10 + k, f"the idiot board called{'abcdefghij'[k]}", "en", "s", 0) for k in range(5)]
+    names = [a + b for a in "abcdefg" for b in "hijklmn"]
+    rows = [(k, f"{names[k]} idiot {names[-k - 1]}", "en", "s", 0) for k in range(6)]
+    rows += [(10 + k, f"the idiot board called {names[k]}", "en", "s", 0) for k in range(5)]
+    rows += [(20 + k, f"some plain words {names[k]}", "en", "s", 0) for k in range(30)]
     labels = spark.createDataFrame([(k, 0, int(k < 10)) for k, *_ in rows], "doc_id long, quality int, toxic int")
     lexicon, exceptions = toxicity.fit_lexicon(docs(spark, rows), labels, min_weight=0.1)
     assert "idiot" in lexicon or any("idiot".startswith(e.rstrip("*")) for e in lexicon if e.endswith("*"))
-    assert "idiot board" in exceptions and "the idiot" in exceptions and "total idiot" not in exceptions
+    assert "idiot board" in exceptions and "the idiot" in exceptions and not any(e.startswith("ah ") for e in exceptions)
     score = toxicity.ToxicityScorer(lexicon, exceptions)
     assert score("that idiot board met")[1] == 0 < score("that idiot spoke")[1]
 

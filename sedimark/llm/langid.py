@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -39,12 +38,23 @@ MAX_GRAM = 4
 PARTS = 16
 UNKNOWN = "und"
 
-#: ``\w`` takes number signs such as those for a half or for Roman numerals for word characters; they are no letters.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _MEMO_LIMIT = 400_000
 
 
+def words_of(text: str) -> list[str]:
+    r"""The runs of letters of a text, lower-cased.
+
+    ``\w`` also takes number signs such as those for a half or for Roman numerals, which are no letters: a match that
+    holds one is cut there.
+    """
+    found = _WORD.findall(text.lower())
+    if "".join(found).isalpha():
+        return found
+    cut = (w if w.isalpha() else "".join(c if c.isalpha() else " " for c in w) for w in found)
+    return [part for w in cut for part in w.split(" ") if part]
+
+
 def grams(word: str, n: int) -> list[str]:
     """The n-grams of a word between boundary marks."""
     marked = f"<{word}>"
@@ -69,7 +79,7 @@ def fit_language(
         words: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
             for text, lang in zip(b["text"].to_pylist(), b["lang"].to_pylist()):
-                words[lang].update(_WORD.findall(text.lower()))
+                words[lang].update(words_of(text))
         for lang, counts in words.items():
             pieces: Counter = Counter()
             for w, k in counts.items():
@@ -137,7 +147,7 @@ class LanguageScorer:
         return found
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        found = _WORD.findall(text.lower()) if text else []
+        found = words_of(text) if text else []
         if not found or not self.langs:
             return UNKNOWN, 0.0
         rows, weights, total = [], [], 0

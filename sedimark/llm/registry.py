@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import archives, decontam, exact_dedup, jaccard, langid, mixing, quality, sampling, suffix_dedup, token_counts, toxicity
+from sedimark.llm import archives, decontam, exact_dedup, jaccard, langid, mixing, periodic, personal_data, quality, ranking, sampling, suffix_dedup, token_counts, toxicity
 from sedimark.storage import table
 
 QUALITY_HELD_OUT = (4, 2)
@@ -83,6 +83,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.span_summary(personal_data.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    given = docs.select("doc_id", periodic.with_periodic_tails(docs).alias("text"))
+    return periodic.run_summary(periodic.periodic_runs(given))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_quality_classifier,
@@ -95,6 +109,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_suffix_dedup,
         op9_language_id,
         op10_benchmark_decontamination,
+        op11_personal_data,
+        op12_periodic_runs,
+        op13_ranked_search,
     ]
     return {f.__name__: f for f in named}
 
@@ -161,5 +178,56 @@ FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
 """
 
 
+#: The CRC is folded bit by bit over the decimal digits. Runs come from pairs of equal 16-grams: all words of a run but its last
+#: period begin or continue one, so the pairs at one distance that follow each other give its ends.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(4294967295, list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+                                     lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1)), CAST(4294967295 AS BIGINT))) AS h
+  FROM documents),
+p AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, 1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p FROM d),
+e AS (
+  SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(generate_series(0, n - 1), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w
+  FROM p),
+k AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 16], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 16)) AS i FROM e WHERE len(w) >= 24)),
+r AS (SELECT doc_id, g, list(i) AS places FROM k GROUP BY doc_id, g HAVING count(*) > 1),
+x AS (SELECT doc_id, i, unnest(places) AS j FROM (SELECT doc_id, places, unnest(places) AS i FROM r)),
+s AS (SELECT doc_id, j - i AS q, i, i - row_number() OVER (PARTITION BY doc_id, j - i ORDER BY i) AS island FROM x WHERE i < j),
+m AS (SELECT doc_id, q, min(i) AS start, count(*) + 15 + q AS length FROM s GROUP BY doc_id, q, island HAVING count(*) + 15 + q >= greatest(24, 3 * q)),
+f AS (SELECT doc_id, start, length, min(q) AS period FROM m GROUP BY doc_id, start, length),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) AS place FROM f),
+l AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM f GROUP BY doc_id),
+c AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(0, len(w) - 1)) AS i FROM e WHERE len(w) > 0),
+t AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM c
+  WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = c.doc_id AND c.i >= f.start + f.period AND c.i < f.start + f.length) GROUP BY doc_id)
+SELECT e.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+       sha256(coalesce(l.runs, '')) AS runs_sha256, sha256(coalesce(t.kept, '')) AS collapsed_sha256
+FROM e LEFT JOIN b ON b.doc_id = e.doc_id AND b.place = 1 LEFT JOIN l ON l.doc_id = e.doc_id LEFT JOIN t ON t.doc_id = e.doc_id
+"""
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM t WHERE len(w) > 0),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM t) GROUP BY doc_id, n, term),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT item_id, term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM q JOIN f USING (term), c),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM w JOIN p USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op5_web_archives": OP5_SQL, "op7_source_mix": OP7_SQL}
+    return {
+        "op2_jaccard_join": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op5_web_archives": OP5_SQL, "op7_source_mix": OP7_SQL,
+        "op12_periodic_runs": OP12_SQL, "op13_ranked_search": OP13_SQL,
+    }

@@ -1,6 +1,6 @@
 """Personal data in texts, by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs them.
 
-Candidates are the matches of four base patterns (e-mail addresses, IP addresses, card and telephone numbers) and of wider forms of
+Candidates are the matches of four base patterns (e-mail addresses, IP addresses, card numbers of 12 digits or more, telephone numbers) and of wider forms of
 each kind: masked addresses such as ``name (at) host (dot) org``, IPv6 and defanged IP addresses, cards in groups
 between dots, slashes or low lines, national telephone numbers and those with 00 before the country. Six labelers vote for, against or not
 at all on each: three regex labelers (the base pattern with its check, the usual form, arithmetic checks), a gazetteer (top-level domains, reserved
@@ -10,7 +10,7 @@ the votes and on what the span looks like. A wider form that the classifier acce
 span is added; spans of the base patterns that pass their checks always stay, those that fail are evidence only.
 
 All of it is DataFrame functions. One scan of the texts finds the matches and writes them, with their surroundings, to the shared folder; what
-follows reads that table. Vote patterns are at most a few thousand, whatever the input; the models are fitted on their counts, one small job a step.
+follows reads that table. Vote patterns are at most a few thousand, whatever the input; the models are fitted on their counts, in one job.
 
 The base patterns are written with look-behinds and possessive repeats, so that long runs of signs take linear time; they match
 what ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)``, ``[0-9]([ -]?[0-9])+`` and
@@ -22,7 +22,6 @@ an id like any other; extra columns are ignored. Spans of different kinds may ov
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,8 +42,14 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a text must hold for a base pattern to match.
-_NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]"}
+#: What a text must hold for a pattern to give a candidate; cheap to look for, and most texts do not hold it.
+_NEEDS = {
+    "email": "@",
+    "ip": r"[0-9]\.[0-9]++\.[0-9]",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11}",
+    "phone": r"\+[0-9]",
+    "wide": r"[(\[{][aA][tT][)\]}]|\x20[dD][oO][tT]\x20|:[0-9a-fA-F]{1,4}:|[\[(]\.[\])]|[0-9]{3}[)._/-]\x20?[0-9]{3}|00[1-9][\x20-]?[0-9]",
+}
 
 _AT, _DOT = r"\x20?[(\[{]at[)\]}]\x20?", r"(?:\x20?[(\[{]dot[)\]}]\x20?|\.)"
 WIDE = {
@@ -93,7 +98,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows (row_id, doc_id) and their candidates (row_id, kind_no, wide, start, end, match, before, after)."""
     text = F.col(text_col)
     found = {f"m{k}": F.when(text.rlike(_NEEDS[kind]), _matches(text, BASE[kind], F.lit(k))) for k, kind in enumerate(KINDS)}
-    found |= {"m4": _matches(text, "(?i)" + "|".join(f"(?:{WIDE[k]})" for k in KINDS), F.lit(len(KINDS)))}
+    found |= {"m4": F.when(text.rlike(_NEEDS["wide"]), _matches(text, "(?i)" + "|".join(f"(?:{WIDE[k]})" for k in KINDS), F.lit(len(KINDS))))}
     rows = staged(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in found.items())), "personal-data")
     parts = [rows.filter(F.col(n).isNotNull()).select("row_id", F.lit(k).alias("found_by"), F.posexplode(n).alias("place", "m")) for k, n in enumerate(found)]
     each = parts[0]
@@ -106,7 +111,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = F.when(F.col("found_by") < len(KINDS), F.col("found_by"))
     kind = kind.when(match.rlike(r"(?i)[(\[{]at[)\]}]|\x20at\x20"), 0).when(match.rlike(r":|[\[(]\.[\])]"), 1).when(match.rlike("^[0-9]{4}[._/][0-9]{4}[._/]"), 2).otherwise(3)
     spans = each.select("row_id", kind.alias("kind_no"), (F.col("found_by") == len(KINDS)).alias("wide"), (end - F.length(match)).alias("start"), end.alias("end"), match.alias("match"), "m.before", "m.after")
-    return rows.select("row_id", "doc_id"), spans
+    short = (F.col("kind_no") == KINDS.index("card")) & (F.length(F.regexp_replace("match", "[^0-9]", "")) < 12)
+    return rows.select("row_id", "doc_id"), spans.filter(~short)
 
 
 def _of_kind(options: dict[str, Column]) -> Column:
@@ -164,57 +170,69 @@ def labelled(spans: DataFrame) -> DataFrame:
     return checked.withColumns(votes).withColumn("features", features)
 
 
-def _dot(weights: list[list[float]]) -> Column:
-    """The features of a row times the weights of its kind."""
-    own = F.get(F.from_json(F.lit(json.dumps(weights)), "array<array<double>>"), F.col("kind_no"))
-    return F.aggregate(F.zip_with("features", own, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+def _dot(features: Column, weights: Column) -> Column:
+    return F.aggregate(F.zip_with(features, weights, lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
 
 
 def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def vote_patterns(spans: DataFrame) -> DataFrame:
-    """(kind_no, features, n): how often each combination occurs. At most a few thousand, so one task takes them all."""
-    return spans.groupBy("kind_no", "features").agg(F.count(F.lit(1)).alias("n")).coalesce(1)
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _sums(patterns: DataFrame, mass: Column) -> dict[int, dict[int, float]]:
-    """Per kind and feature, the sum of ``mass`` over the patterns that have the feature: a few dozen numbers a kind."""
-    each = patterns.select("kind_no", mass.alias("mass"), F.posexplode("features").alias("feature", "x"))
-    out: dict[int, dict[int, float]] = {}
-    for r in each.groupBy("kind_no", "feature").agg(F.sum(F.col("mass") * F.col("x")).alias("s")).collect():
-        out.setdefault(r["kind_no"], {})[r["feature"]] = r["s"]
-    return out
+def _sums(patterns: Column, mass) -> Column:
+    """For each feature, the sum of ``mass(pattern)`` over the patterns that have it."""
+    weighed = F.transform(patterns, lambda p: F.struct(p["features"].alias("features"), mass(p).alias("mass")))
+    none = F.lit([0.0] * (_ONE + 1))
+    return F.aggregate(weighed, none, lambda sums, p: F.zip_with(sums, p["features"], lambda s, x: s + x * p["mass"]))
 
 
-def estimate_reliabilities(patterns: DataFrame, steps: int = EM_STEPS) -> list[list[float]]:
-    """Per kind, log odds to add up for each vote of each labeler, and at the end the prior's; by expectation-maximisation.
+def vote_patterns(spans: DataFrame) -> DataFrame:
+    """(kind_no, patterns, total): of each kind how often each combination of features occurs, and how often each feature.
+
+    Combinations are counted before they are listed; there are at most a few thousand of a kind, whatever the input.
+    """
+    counted = spans.groupBy("kind_no", "features").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    listed = counted.groupBy("kind_no").agg(F.array_sort(F.collect_list(F.struct("features", "n"))).alias("patterns"))
+    return listed.withColumn("total", _sums(F.col("patterns"), lambda p: p["n"]))
+
+
+def with_reliabilities(patterns: DataFrame, steps: int = EM_STEPS) -> DataFrame:
+    """``patterns`` with ``odds``: log odds to add up for each vote of each labeler, and at the end the prior's; by expectation-maximisation.
 
     Labelers are taken as independent given the truth. The start takes every labeler for mostly right; counts are smoothed by one.
     """
-    rest = [0.0] * (len(_SURFACE) - 1)
-    start = [math.log(0.6 / 0.1), 0.0, math.log(0.1 / 0.6)] * len(LABELERS)
-    weights = [[*start, *rest, 0.0] for _ in KINDS]
-    total = _sums(patterns, F.col("n"))
-    for _ in range(steps):
-        for kind, yes in _sums(patterns, F.col("n") * _sigmoid(_dot(weights))).items():
-            n_all, n_yes = total[kind][_ONE], yes[_ONE]
-            n_no = n_all - n_yes
-            odds = [math.log((yes[j] + 1) / (n_yes + 3) * (n_no + 3) / (max(0.0, total[kind][j] - yes[j]) + 1)) for j in range(_N_VOTES)]
-            weights[kind] = [*odds, *rest, math.log((n_yes + 1) / (n_no + 1))]
-    return weights
-
-
-def fit_classifier(patterns: DataFrame, reliabilities: list[list[float]], steps: int = FIT_STEPS, rate: float = 2.0, decay: float = 1e-3) -> list[list[float]]:
-    """Weights of the features per kind: logistic regression on the posteriors, by gradient steps over all patterns."""
-    taught = patterns.withColumn("truth", _sigmoid(_dot(reliabilities)))
-    weights = [[0.0] * (_ONE + 1) for _ in KINDS]
-    total = _sums(patterns, F.col("n"))
-    for _ in range(steps):
-        for kind, slope in _sums(taught, F.col("n") * (_sigmoid(_dot(weights)) - F.col("truth"))).items():
-            weights[kind] = [w - rate * (slope[j] / total[kind][_ONE] + decay * w) for j, w in enumerate(weights[kind])]
-    return weights
+    total = F.col("total")
+    start = [math.log(0.6 / 0.1), 0.0, math.log(0.1 / 0.6)] * len(LABELERS) + [0.0] * len(_SURFACE)
+
+    def maximise(yes: Column) -> Column:
+        n_yes, n_no = F.get(yes, F.lit(_ONE)), F.get(total, F.lit(_ONE)) - F.get(yes, F.lit(_ONE))
+
+        def odds(v: Column, j: Column) -> Column:
+            voted = F.log((v + 1) / (n_yes + 3) * (n_no + 3) / (F.greatest(F.lit(0.0), F.get(total, j) - v) + 1))
+            return F.when(j < _N_VOTES, voted).when(j == _ONE, F.log((n_yes + 1) / (n_no + 1))).otherwise(0.0)
+
+        return F.transform(yes, odds)
+
+    def step(odds: Column, _: Column) -> Column:
+        return _bound(_sums(F.col("patterns"), lambda p: p["n"] * _sigmoid(_dot(p["features"], odds))), maximise)
+
+    return patterns.withColumn("odds", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(start), step))
+
+
+def with_classifier(patterns: DataFrame, steps: int = FIT_STEPS, rate: float = 2.0, decay: float = 1e-3) -> DataFrame:
+    """``patterns`` with ``weights`` of the features: logistic regression on the posteriors, by gradient steps over all patterns."""
+    taught = F.transform("patterns", lambda p: F.struct(p["features"].alias("features"), p["n"].alias("n"), _sigmoid(_dot(p["features"], F.col("odds"))).alias("truth")))
+
+    def step(weights: Column, _: Column) -> Column:
+        slope = _sums(F.col("taught"), lambda p: p["n"] * (_sigmoid(_dot(p["features"], weights)) - p["truth"]))
+        return F.zip_with(weights, slope, lambda w, g: w - rate * (g / F.get("total", F.lit(_ONE)) + decay * w))
+
+    start = F.lit([0.0] * (_ONE + 1))
+    return patterns.withColumn("taught", taught).withColumn("weights", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
@@ -224,14 +242,14 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows, found = candidates(docs, id_col, text_col)
     spans = staged(labelled(found), "personal-data-votes")
-    patterns = staged(vote_patterns(spans), "personal-data-patterns")
-    weights = fit_classifier(patterns, estimate_reliabilities(patterns))
+    model = staged(with_classifier(with_reliabilities(vote_patterns(spans))).select("kind_no", "weights"), "personal-data-model")
     # A wider form overlaps a base span where one that starts before ends after its start, or one starts before its end.
     in_order = Window.partitionBy("row_id").orderBy("start")
     base = ~F.col("wide") & F.col("ok")
     before = F.max(F.when(base, F.col("end"))).over(in_order.rangeBetween(Window.unboundedPreceding, 0))
     after = F.min(F.when(base, F.col("start"))).over(in_order.rangeBetween(0, Window.unboundedFollowing))
-    placed = spans.withColumns({"score": _sigmoid(_dot(weights)), "base_end": before, "base_start": after})
+    scored = spans.join(F.broadcast(model), "kind_no")  # a row a kind
+    placed = scored.withColumns({"score": _sigmoid(_dot(F.col("features"), F.col("weights"))), "base_end": before, "base_start": after})
     free = F.coalesce(F.col("base_end") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("base_start") >= F.col("end"), F.lit(True))
     kept = placed.filter(base | F.col("wide") & F.col("ok") & (F.col("score") >= accept) & free)
     kind = F.get(F.lit(list(KINDS)), F.col("kind_no"))

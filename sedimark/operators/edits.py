@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.storage import staged
@@ -47,13 +47,61 @@ def multi_edit(files: DataFrame, steps: list[tuple[int, str, str]]) -> DataFrame
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     """files with the edits (path, start, end, new) put in, from the last to the first; offsets in characters from 0.
 
-    An edit beyond the end of its text appends.
+    An edit beyond the end of its text appends. Two edits of a file that overlap raise an error when the result is computed: resolve
+    conflicts first. Edits that only touch are put in one after the other.
     """
     listed = edits.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "end", "new")), asc=False).alias("edits"))
     folded = F.aggregate(
         "edits", F.col("text"), lambda t, e: F.concat(F.substring(t, F.lit(1), e["start"]), e["new"], F.substring(t, F.least(e["end"], F.length("text")) + 1, F.length(t)))
     )
-    return files.join(listed, "path", "left").withColumn("new_text", F.coalesce(F.when(F.col("edits").isNotNull(), folded), F.col("text"))).drop("edits")
+    # From the last to the first: an edit that ends after the next one starts overlaps it.
+    pairs = F.zip_with("edits", F.slice("edits", 2, 1 << 30), lambda later, e: F.coalesce(e["end"] > later["start"], F.lit(False)))
+    checked = F.when(F.exists(pairs, lambda bad: bad), F.raise_error(F.concat(F.lit("overlapping edits of "), "path"))).otherwise(folded)
+    return files.join(listed, "path", "left").withColumn("new_text", F.coalesce(F.when(F.col("edits").isNotNull(), checked), F.col("text"))).drop("edits")
+
+
+def rebased(edits: DataFrame) -> DataFrame:
+    """``edits`` (path, start, end, new) that do not overlap, with ``new_start`` and ``new_end``: where their new text stands once all are in.
+
+    What an edit grows its file by moves all later ones; a running sum of the earlier growth gives the shift.
+    """
+    before = Window.partitionBy("path").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    grown = F.length("new") - (F.col("end") - F.col("start"))
+    start = F.col("start") + F.coalesce(F.sum(grown).over(before), F.lit(0))
+    return edits.withColumn("new_start", start).withColumn("new_end", F.col("new_start") + F.length("new"))
+
+
+def apply_fixes(files: DataFrame, fixes: DataFrame, prefer: str = "older") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One run of fixes (id, path, start, end, new, made_at) over files (path, text): the files after it, what was done, and the way back.
+
+    Conflicts are resolved first, as in ``resolve_conflicts``. The second table has each fix with ``applied``, and for those applied the place of the new text
+    (new_start, new_end), so a later round of fixes can be laid over it; the third has inverse edits (id, path, start, end, new) on
+    the new texts, which ``apply_edits`` takes to roll back all of the run or single fixes.
+    """
+    kept = staged(rebased(resolve_conflicts(fixes, prefer)), "fixes")
+    after = apply_edits(files, kept.select("path", "start", "end", "new"))
+    done = fixes.join(kept.select("id", "new_start", "new_end"), "id", "left").withColumn("applied", F.col("new_start").isNotNull())
+    old = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    back = kept.join(files.select("path", "text"), "path").select("id", "path", F.col("new_start").alias("start"), F.col("new_end").alias("end"), old.alias("new"))
+    return after, done, back
+
+
+def rebase_over(edits: DataFrame, done: DataFrame) -> DataFrame:
+    """``edits`` (id, path, start, end, new) that were made for the texts before a run, moved to the texts after it.
+
+    ``done`` has the fixes of the run with their places (path, start, end, new_start, new_end). Growth is summed over both in one order; an edit that
+    overlaps an applied fix has lost its place and is left out.
+    """
+    applied = done.filter("applied").select("path", "start", "end", (F.col("new_end") - F.col("new_start") - F.col("end") + F.col("start")).alias("growth"), F.lit(0).alias("side"))
+    asked = edits.withColumns({"growth": F.lit(0).cast("long"), "side": F.lit(1)})
+    both = asked.unionByName(applied.withColumn("growth", F.col("growth").cast("long")), allowMissingColumns=True)
+    in_order = Window.partitionBy("path").orderBy("start", "side")
+    shift = F.sum("growth").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    reach = F.max(F.when(F.col("side") == 0, F.col("end"))).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.min(F.when(F.col("side") == 0, F.col("start"))).over(in_order.rowsBetween(0, Window.unboundedFollowing))
+    placed = both.withColumns({"shift": shift, "reach": reach, "ahead": ahead}).filter("side = 1")
+    free = placed.filter("coalesce(reach <= start, true) and coalesce(ahead >= end, true)")
+    return free.withColumns({"start": F.col("start") + F.col("shift"), "end": F.col("end") + F.col("shift")}).select(*edits.columns)
 
 
 def _overlaps(edits: DataFrame, *columns: str) -> DataFrame:

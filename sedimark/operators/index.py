@@ -168,3 +168,19 @@ def resolve_edges(edges: DataFrame, lookup: DataFrame) -> DataFrame:
     """Edges given by keys (from_key, to_key) as edges between ids; ends that no symbol has drop the edge."""
     ends = [lookup.select(F.col("lookup_key").alias(f"{e}_key"), F.col("id").alias(f"{e}_id")) for e in ("from", "to")]
     return edges.join(ends[0], "from_key").join(ends[1], "to_key")
+
+
+def distinct_sketches(rows: DataFrame, by: list[str], value: str, lg_k: int = 12) -> DataFrame:
+    """(by..., sketch): mergeable sketches of the distinct values of each group; null values do not count."""
+    return rows.groupBy(*by).agg(F.hll_sketch_agg(value, F.lit(lg_k)).alias("sketch"))
+
+
+def replace_sketches(kept: DataFrame, again: DataFrame, by: list[str]) -> DataFrame:
+    """``kept`` with the groups that were counted anew in the place of their old sketches: what a reindex of some files does."""
+    return kept.join(again.select(*by), by, "left_anti").unionByName(again)
+
+
+def merged_sketches(sketches: DataFrame, by: list[str], name: str) -> DataFrame:
+    """(by..., name): distinct values of coarser groups, by union of the sketches, without a look at the rows again."""
+    merged = sketches.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select(*by, F.hll_sketch_estimate("sketch").alias(name))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sedimark.plans import code_index, log_plans, relation_plans, source_plans, text_plans
+from sedimark.plans import code_index, code_plans, log_plans, relation_plans, source_plans, text_plans
 
-_PLANS = (code_index, text_plans, log_plans, relation_plans, source_plans)
+_PLANS = (code_index, text_plans, log_plans, relation_plans, source_plans, code_plans)
 
 
 def queries() -> dict:

@@ -54,6 +54,28 @@ def lines(files: DataFrame) -> DataFrame:
     )
 
 
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, text: a source file for each part, with a namespace of its type and brand and one class; methods nest by its size."""
+    brand, key, size = F.replace("p_brand", F.lit("#"), F.lit("")), F.col("p_partkey"), F.col("p_size").cast("string")
+    deep = (F.col("p_size") % 5).cast("int")
+    name = F.concat(F.lit("Part"), key)
+    upgrade = key % 3 == 0
+    lines = [
+        F.when(upgrade, "using NUnit.Framework;").otherwise("using System;"),
+        F.concat(F.lit("namespace "), "p_type", F.lit("."), brand), F.lit("{"), F.lit("    // class Fake { }"),
+        F.concat(F.lit("    public class "), name, F.lit(" : Base"), size, F.lit("<int>")), F.lit("    {"),
+        F.concat(F.lit("        private int count"), size, F.lit(" = "), size, F.lit(";")), F.lit("        public string Title { get; set; }"),
+        F.concat(F.lit("        public "), name, F.lit("(int a) { count"), size, F.lit(" = a; }")),
+        F.concat(F.lit("        public int Run"), brand, F.lit("(int a, string b)")), F.lit("        {"), F.lit('            var s = "not { a brace";'),
+        F.when(deep > 0, F.array_join(F.array_repeat(F.lit("            if (a > 1) {"), deep), "\n")), F.lit("            a++;"),
+        F.when(deep > 0, F.array_join(F.array_repeat(F.lit("            }"), deep), "\n")),
+        F.lit("            foreach (var x in b) { if (x > 1 && a > 2) a--; }"), F.lit("            try { a++; } catch (Exception e) { throw; }"),
+        F.when(upgrade, "            Assert.AreEqual(1, a);").otherwise("            Check(a);"), F.lit("            /* { */"), F.lit("            a += b.Length;"), F.lit(""),
+        F.concat(F.lit("            var o = new Part"), F.floor(key / 10), F.lit("(a);")), F.lit("            return a;"), F.lit("        }"), F.lit("    }"), F.lit("}"),
+    ]
+    return table(spark, sf_dir, "part").select(F.concat(key, F.lit(".cs")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
+
+
 #: The same roles as common table expressions, for the SQL that queries are checked against.
 SYMBOLS_SQL = "symbols AS (SELECT p_partkey AS id, p_size AS file_id, p_name AS name, p_brand AS kind, p_type AS namespace FROM part)"
 REFERENCES_SQL = """refs AS (

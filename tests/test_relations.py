@@ -45,8 +45,8 @@ def test_fallback_takes_the_first_strategy_that_finds(spark):
 def test_longest_depths(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 3), (5, 1)], "src long, dst long")
     assert {r["node"]: r["depth"] for r in graph.longest_depths(e).collect()} == {3: 0, 2: 1, 4: 1, 1: 2, 5: 3}
-    with pytest.raises(ValueError):
-        graph.longest_depths(spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long"))
+    cycle = graph.longest_depths(spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "src long, dst long")).collect()
+    assert {(r["node"], r["depth"], r["recursive"]) for r in cycle} == {(1, 2, True), (2, 2, True), (3, 0, False)}
 
 
 def test_implementations_through_bases(spark):

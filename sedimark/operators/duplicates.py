@@ -125,6 +125,21 @@ def hotspots(blocks: DataFrame, groups: DataFrame, by: str, top: int = 10) -> Da
     return scored.orderBy(F.desc("score"), by).limit(top)
 
 
+def hotspots_by_level(blocks: DataFrame, groups: DataFrame, levels: list[str], top: int = 10) -> DataFrame:
+    """(level, place, score, blocks, lines): the ``top`` places with most duplication of every column in ``levels``, in one pass by grouping sets."""
+    hit = with_hash(blocks).join(groups.select("hash"), "hash", "left_semi")
+    columns = [F.col(c) for c in levels]
+    summed = hit.groupingSets([[c] for c in columns], *columns).agg(
+        F.sum("complexity").alias("score"), F.count(F.lit(1)).alias("blocks"), F.sum("n_lines").alias("lines"), *(F.grouping(c).alias(f"no_{c}") for c in levels)
+    )
+    level, place = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for c in levels:
+        level, place = F.when(F.col(f"no_{c}") == 0, c).otherwise(level), F.when(F.col(f"no_{c}") == 0, F.col(c).cast("string")).otherwise(place)
+    scored = summed.select(level.alias("level"), place.alias("place"), "score", "blocks", "lines")
+    rank = F.row_number().over(Window.partitionBy("level").orderBy(F.desc("score"), "place"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= top).drop("rank")
+
+
 def impact(groups: DataFrame) -> DataFrame:
     score = duplication_impact(F.col("n_lines"), F.col("copies"), F.col("complexity"), F.lit(1.0))
     return groups.select("first_id", F.round(score, 6).alias("impact"), impact_tier(score).alias("tier"))

@@ -107,15 +107,25 @@ def rebase_over(edits: DataFrame, done: DataFrame) -> DataFrame:
 def _overlaps(edits: DataFrame, *columns: str) -> DataFrame:
     """Pairs a, b of edits of one file whose ranges overlap and a_id < b_id; touching counts.
 
-    Ranges meet in bins of their mean length, so a range lies in few bins; a pair counts in the bin where the later one starts.
+    A range lies in one or two bins of the least power of two that is longer; the shorter of a pair looks for the longer one in bins of the
+    longer one's size. So neither very long nor very many short ranges fill many bins. A pair counts in the bin where the later one starts.
     """
-    mean = edits.agg(F.greatest(F.lit(1), F.ceil(F.avg(F.col("end") - F.col("start")))).cast("long").alias("width"))
-    bins = F.sequence(F.floor(F.col("start") / F.col("width")), F.floor(F.col("end") / F.col("width")))
-    binned = edits.join(F.broadcast(mean)).withColumn("bin", F.explode(bins))
-    a = binned.select("path", "bin", "width", *(F.col(c).alias(f"a_{c}") for c in ("id", "start", "end", *columns)))
-    b = binned.select("path", "bin", *(F.col(c).alias(f"b_{c}") for c in ("id", "start", "end", *columns)))
-    met = a.join(b, ["path", "bin"]).filter("a_id < b_id and a_start <= b_end and b_start <= a_end")
-    return met.filter(F.col("bin") == F.floor(F.greatest("a_start", "b_start") / F.col("width")))
+    size = F.greatest(F.lit(1), F.col("end") - F.col("start") + 1)
+    sized = edits.withColumn("level", F.ceil(F.log2(size)).cast("int"))
+    levels = sized.agg(F.collect_set("level").alias("levels"))  # a few dozen numbers
+    ends = [F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long") for c in ("start", "end")]
+    held = sized.withColumn("bin", F.explode(F.sequence(*ends)))
+    asked = sized.withColumnRenamed("level", "own").join(F.broadcast(levels)).withColumn("level", F.explode(F.filter("levels", lambda x: x >= F.col("own"))))
+    asked = asked.withColumn("bin", F.explode(F.sequence(*ends)))
+    kept = ("id", "start", "end", *columns)
+    a = asked.select("path", "bin", "level", "own", F.struct(*kept).alias("x"))
+    b = held.select("path", "bin", "level", F.struct(*kept).alias("y"))
+    met = a.join(b, ["path", "bin", "level"]).filter("x.start <= y.end and y.start <= x.end and (own < level or x.id < y.id)")
+    met = met.filter(F.col("bin") == F.floor(F.greatest("x.start", "y.start") / F.pow(F.lit(2.0), F.col("level"))))
+    first = F.col("x.id") < F.col("y.id")
+    low, high = (F.when(first, F.col(p)).otherwise(F.col(q)) for p, q in (("x", "y"), ("y", "x")))
+    met = met.filter("x.id <> y.id").select("path", low.alias("a"), high.alias("b"))
+    return met.select("path", *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in kept))
 
 
 def fix_statistics(edits: DataFrame, kept: DataFrame) -> DataFrame:
@@ -144,10 +154,17 @@ def resolve_conflicts(edits: DataFrame, prefer: str = "older") -> DataFrame:
 
     ``older`` and ``newer`` drop an edit that overlaps one made before or after it; ``none`` drops all that overlap.
     """
-    pairs = _overlaps(edits, "made_at")
+    # Edits of one range overlap each other: only the one that may stay meets other ranges.
+    order = F.struct("made_at", "id")
+    pick = {"older": F.min(order), "newer": F.max(order), "none": F.min(order)}[prefer]
+    ranges = edits.groupBy("path", "start", "end").agg(pick.alias("kept"), F.count(F.lit(1)).alias("n"))
+    ranges = staged(ranges.select("path", "start", "end", F.col("kept.id").alias("id"), F.col("kept.made_at").alias("made_at"), "n"), "resolve-ranges")
+    pairs = _overlaps(ranges, "made_at")
     first = F.struct("a_made_at", "a_id") < F.struct("b_made_at", "b_id")
     lost = {"older": F.array(F.when(first, F.col("b_id")).otherwise(F.col("a_id"))), "newer": F.array(F.when(first, F.col("a_id")).otherwise(F.col("b_id"))), "none": F.array("a_id", "b_id")}
-    return edits.join(pairs.select(F.explode(lost[prefer]).alias("id")), "id", "left_anti")
+    stay = ranges.filter("n = 1 or start > end") if prefer == "none" else ranges
+    stay = stay.join(pairs.select(F.explode(lost[prefer]).alias("id")), "id", "left_anti")
+    return edits.join(stay.select("id"), "id", "left_semi")
 
 
 def preview(files: DataFrame, pattern: str) -> DataFrame:

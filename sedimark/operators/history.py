@@ -13,23 +13,32 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOG = "entry long, version string"
-
-
 def create(table: DataFrame, folder: str) -> None:
-    """Begin a versioned table in ``folder``."""
-    _commit(table, folder, 0)
+    """Begin a versioned table in ``folder``; raises where there is one."""
+    if not _commit(table, folder, 0):
+        raise FileExistsError(folder)
 
 
 def _entries(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(LOG).parquet(f"{folder}/log")
+    """(entry, version) of the log: one file an entry, whose name is the entry and whose line is the version."""
+    entry = F.regexp_extract("_metadata.file_name", r"([0-9]+)\.entry$", 1).cast("long")
+    return spark.read.text(f"{folder}/log").select(entry.alias("entry"), F.col("value").alias("version"))
 
 
-def _commit(table: DataFrame, folder: str, entry: int) -> None:
-    version = uuid.uuid4().hex
+def _commit(table: DataFrame, folder: str, entry: int) -> bool:
+    """Write a version, then its log entry if no other writer has taken that number: the file system creates a file only once."""
+    spark, version = table.sparkSession, uuid.uuid4().hex
     table.write.parquet(f"{folder}/{version}")
-    log = table.sparkSession.createDataFrame([(entry, version)], LOG)
-    log.coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/log/{entry:012d}.entry")
+    try:
+        out = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path, False)
+    except Exception as error:
+        if "AlreadyExists" in str(error):
+            return False
+        raise
+    out.writeBytes(version + "\n")
+    out.close()
+    return True
 
 
 def current(spark: SparkSession, folder: str, entry: int | None = None) -> DataFrame:
@@ -40,11 +49,16 @@ def current(spark: SparkSession, folder: str, entry: int | None = None) -> DataF
     return spark.read.parquet(f"{folder}/{version}")
 
 
-def transaction(spark: SparkSession, folder: str, action: Callable[[DataFrame], DataFrame]) -> int:
-    """Make ``action`` of the current version the next one; returns its log entry. Nothing changes where it raises."""
-    last = _entries(spark, folder).agg(F.max("entry")).collect()[0][0]
-    _commit(action(current(spark, folder)), folder, last + 1)
-    return last + 1
+def transaction(spark: SparkSession, folder: str, action: Callable[[DataFrame], DataFrame], attempts: int = 10) -> int:
+    """Make ``action`` of the current version the next one; returns its log entry. Nothing changes where it raises.
+
+    Where another writer commits first, ``action`` is done again on what that one left.
+    """
+    for _ in range(attempts):
+        last = _entries(spark, folder).agg(F.max("entry")).collect()[0][0]
+        if _commit(action(current(spark, folder, last)), folder, last + 1):
+            return last + 1
+    raise RuntimeError("other writers were first every time")
 
 
 def backup(files: DataFrame, made_at: Column) -> DataFrame:

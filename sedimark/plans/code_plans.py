@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedimark.operators import analyzers, code, diff, edits, graph, index, usage
+from sedimark.operators import analyzers, code, diff, duplicates, edits, graph, index, usage
 from sedimark.plans.code_index import E, _edges
 from sedimark.plans.relation_plans import INHERITS, _inherits
+from sedimark.plans.text_plans import GROUPS, _blocks
 from sedimark.sources.roles import FILES_SQL, LINES_SQL, REFERENCES_SQL, SYMBOLS_SQL, code_files, files, references, symbols
 from sedimark.storage import new_path, table
 from sedimark.streaming import lifecycle, windows
@@ -120,6 +121,15 @@ def fix_run(spark, sf):
     return hashed.join(n, "path")
 
 
+@query(f"""WITH {GROUPS}, h AS (SELECT path, group_key, split_part(path, '/', 1) AS directory, CAST(sum(complexity) AS BIGINT) AS score, count(*) AS blocks, CAST(sum(n_lines) AS BIGINT) AS lines
+FROM (SELECT *, split_part(path, '/', 1) FROM blocks) WHERE hash IN (SELECT hash FROM groups) GROUP BY GROUPING SETS ((path), (group_key), (split_part(path, '/', 1)))),
+l AS (SELECT CASE WHEN path IS NOT NULL THEN 'path' WHEN group_key IS NOT NULL THEN 'group_key' ELSE 'directory' END AS level, coalesce(path, group_key, directory) AS place, score, blocks, lines FROM h)
+SELECT level, place, score, blocks, lines FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY score DESC, place) AS k FROM l) WHERE k <= 10""")
+def duplicate_hotspots_by_level(spark, sf):
+    b = _blocks(spark, sf).withColumn("directory", F.substring_index("path", "/", 1))
+    return duplicates.hotspots_by_level(b, duplicates.exact_groups(b), ["path", "group_key", "directory"])
+
+
 # ---------------------------------------------------------------- graphs
 
 # What parts derive from, and of every fiftieth part an edge back from the ancestor three above it: cycles of four that grow together.

@@ -55,7 +55,7 @@ _FOLD = str.maketrans(HOMOGLYPHS | _WIDE | dict.fromkeys("\u200b\u200c\u200d\u00
 _SIGN = re.compile(r"(?<=[^\W\d_])[0134578@$]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578@$]+(?!\w)|(?<!\w)[0134578@$]+(?=[^\W\d_])")
 _SUB = str.maketrans(SUBSTITUTES)
 _WORD = re.compile(r"[^\W\d_]+")
-_LAST_WORD, _NEXT_WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]+ \Z"), re.compile(r" [^\W\d_]+")
+_LETTER, _NEXT_WORD = re.compile(r"[^\W\d_]"), re.compile(r" [^\W\d_]+")
 
 
 def fold(text: str) -> str:
@@ -111,9 +111,15 @@ class ToxicityScorer:
         for start, end, _ in self.matches(folded):
             while end < len(folded) and folded[end].isalpha():
                 end += 1
-            before, after = _LAST_WORD.search(folded, max(0, start - 60), start), _NEXT_WORD.match(folded, end)
             out.add(folded[start:end])
-            out |= {folded[m.start() if k == 0 else start : end if k == 0 else m.end()] for k, m in enumerate((before, after)) if m}
+            if after := _NEXT_WORD.match(folded, end):
+                out.add(folded[start : after.end()])
+            if folded[start - 1 : start] == " ":
+                before = start - 1
+                while before and _LETTER.match(folded, before - 1):
+                    before -= 1
+                if before < start - 1:
+                    out.add(folded[before:end])
         return out
 
     def __call__(self, text: str | None) -> tuple[float, int]:

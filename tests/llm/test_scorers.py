@@ -176,3 +176,10 @@ def test_pipeline_stages_take_awkward_rows(spark, tmp_path):
             rows = [tuple(r)[: len(d.columns)] for r in out.collect()]
             assert set(d.columns) <= set(out.columns) and set(rows) <= {tuple(r) for r in d.collect()}, name
             assert d.isEmpty() == (not rows) or name == "quality classifier", name
+
+
+def test_phrases_reach_over_words_of_any_length():
+    score = toxicity.ToxicityScorer({"idiot": 5.0})
+    long = "w" * 500
+    assert score.phrases(f"a {long} idiot here") == {"idiot", f"{long} idiot", "idiot here"}
+    assert score.phrases("idiot") == {"idiot"} and score.phrases("1 idiot") == {"idiot"} and score.phrases("x, idiot") == {"idiot"}

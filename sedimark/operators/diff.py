@@ -1,8 +1,8 @@
 """Line diffs with alignment, for all files of a change set at once.
 
 The method is patience diff as joins: in every stretch of a file that is not yet aligned, equal lines at the head and at the tail are taken off; then
-lines that occur equally often on both sides are paired, the k-th with the k-th, the longest increasing run of the pairs gives
-anchors, and the stretches between anchors are aligned in the next round. Lines that no round aligns are removed or added.
+lines that occur equally often on both sides are paired, the k-th with the k-th (where a stretch has none, all lines that both sides
+have), the longest increasing run of the pairs gives anchors, and the stretches between anchors are aligned in the next round. Lines that no round aligns are removed or added.
 
 Rows move by hash of file and stretch; only the anchors of one stretch meet in one task, as pairs of line numbers.
 """
@@ -89,7 +89,9 @@ def aligned_lines(before: DataFrame, after: DataFrame, max_rounds: int = MAX_ROU
             same = Window.partitionBy("path", "stretch", "line")
             k = F.row_number().over(same.orderBy(f"{name}_no"))
             keyed.append(d.select("path", "stretch", "line", f"{name}_no", k.alias("k"), F.count(F.lit(1)).over(same).alias("n")))
-        met = keyed[0].join(keyed[1], ["path", "stretch", "line", "k", "n"]).select("path", "stretch", "old_no", "new_no")
+        met = keyed[0].join(keyed[1].withColumnRenamed("n", "m"), ["path", "stretch", "line", "k"]).withColumn("even", F.col("n") == F.col("m"))
+        some = F.max("even").over(Window.partitionBy("path", "stretch"))
+        met = met.withColumn("some", some).filter("even or not some").select("path", "stretch", "old_no", "new_no")
         anchors = staged(_anchors(met), "diff")
         fresh = fresh.unionByName(anchors.select("path", "old_no", "new_no"))
         pairs = fresh if pairs is None else pairs.unionByName(fresh)

@@ -88,6 +88,41 @@ def project_reference_parse(spark, sf):
     return sources.project_references(table(spark, sf, "part").select(F.format_string("p%d.csproj", "p_partkey").alias("path"), text.alias("text")))
 
 
+PROJECTS = """d AS (SELECT 'p' || p_partkey || '.csproj' AS path, p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN ['net8.0', 'net9.0'] ELSE ['net8.0'] END AS frameworks,
+replace(p_brand, '#', '') AS package, (p_size % 3) || '.0.1' AS version FROM part)"""
+
+
+def _project_details(spark, sf):
+    """A project a part: one or two frameworks, a package of its brand by attribute, every other one Central without a version, one in a comment."""
+    brand = F.replace("p_brand", F.lit("#"), F.lit(""))
+    frameworks = F.when(F.col("p_partkey") % 3 == 0, "<TargetFrameworks>net8.0; net9.0</TargetFrameworks>").otherwise("<TargetFramework>net8.0</TargetFramework>")
+    version = F.concat((F.col("p_size") % 3).cast("string"), F.lit(".0.1"))
+    inner = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(' Version="'), version, F.lit('" />'))).otherwise(F.concat(F.lit(">\n  <Version>"), version, F.lit("</Version>\n</PackageReference>")))
+    text = F.concat(
+        F.lit('<Project Sdk="Sdk.Web"><PropertyGroup><OutputType>Exe</OutputType>'), frameworks, F.lit('</PropertyGroup>\n<!-- <PackageReference Include="Gone" Version="1.0" /> -->\n<PackageReference Include="'),
+        brand, F.lit('"'), inner, F.when(F.col("p_partkey") % 2 == 0, '\n<PackageReference Include="Central" />').otherwise(""), F.lit("</Project>"),
+    )
+    return sources.project_details(table(spark, sf, "part").select(F.format_string("p%d.csproj", "p_partkey").alias("path"), text.alias("text")))
+
+
+@query(f"""WITH {PROJECTS} SELECT path, 'Sdk.Web' AS sdk, 'Exe' AS output_type, array_to_string(frameworks, ',') AS frameworks,
+package || '=' || version || CASE WHEN k % 2 = 0 THEN ',Central=' ELSE '' END AS packages FROM d""")
+def project_details(spark, sf):
+    each = F.transform("packages", lambda p: F.concat(p["name"], F.lit("="), F.coalesce(p["version"], F.lit(""))))
+    return _project_details(spark, sf).select("path", "sdk", "output_type", F.array_join("frameworks", ",").alias("frameworks"), F.array_join(each, ",").alias("packages"))
+
+
+@query(f"""WITH {PROJECTS}, e AS (SELECT unnest(frameworks) AS framework, path, package, k FROM d)
+SELECT framework, count(DISTINCT path) AS projects, count(DISTINCT package) + CASE WHEN bool_or(k % 2 = 0) THEN 1 ELSE 0 END AS packages FROM e GROUP BY framework""")
+def framework_usage(spark, sf):
+    return sources.framework_usage(_project_details(spark, sf))
+
+
+@query(f"""WITH {PROJECTS} SELECT package, array_to_string(list_sort(list(DISTINCT version)), ',') AS versions, count(DISTINCT path) AS projects FROM d GROUP BY package HAVING count(DISTINCT version) > 1""")
+def package_conflicts(spark, sf):
+    return sources.package_conflicts(_project_details(spark, sf)).withColumn("versions", F.array_join("versions", ","))
+
+
 def _solutions(spark, sf):
     """A solution a brand, listing the parts of even key."""
     line = F.format_string('Project("{F}") = "%s", "p%d.csproj", "{G}"', "p_name", "p_partkey")

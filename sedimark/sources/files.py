@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders that discovery leaves out.
@@ -62,6 +62,47 @@ def project_references(projects: DataFrame) -> DataFrame:
     return projects.select("path", F.explode(targets).alias("target"))
 
 
+def project_details(projects: DataFrame) -> DataFrame:
+    """(path, sdk, output_type, frameworks, packages) of project files (path, text); packages are structs (name, version) by name.
+
+    One or several frameworks may be named. A package's version may stand in an attribute, before or after the name, or in an element; without one it
+    is null, as where versions are kept centrally. Comments do not count.
+    """
+    text = F.regexp_replace("text", "(?s)<!--.*?-->", "")
+
+    def first(pattern: str) -> Column:
+        found = F.regexp_extract(text, pattern, 1)
+        return F.when(found != "", F.trim(found))
+
+    frameworks = F.filter(F.transform(F.split(first("<TargetFrameworks?>([^<]*)</TargetFrameworks?>"), ";"), lambda x: F.trim(x)), lambda x: x != "")
+    cut = F.regexp_extract_all(text, F.lit(r"(?s)(<PackageReference\s[^>]*?/>|<PackageReference\s.*?</PackageReference>)"), F.lit(1))
+
+    def part(tag: Column, pattern: str) -> Column:
+        found = F.regexp_extract(tag, pattern, 1)
+        return F.when(found != "", found)
+
+    version = lambda t: F.coalesce(part(t, r'\sVersion="([^"]*)"'), part(t, r"<Version>\s*([^<\s]*)\s*</Version>"))
+    packages = F.transform(cut, lambda t: F.struct(part(t, r'\sInclude="([^"]*)"').alias("name"), version(t).alias("version")))
+    packages = F.array_sort(F.filter(packages, lambda x: x["name"].isNotNull()))
+    none = F.array().cast("array<string>")
+    return projects.select("path", first(r'<Project\s[^>]*Sdk="([^"]*)"').alias("sdk"), first("<OutputType>([^<]*)</OutputType>").alias("output_type"), F.coalesce(frameworks, none).alias("frameworks"), packages.alias("packages"))
+
+
+def framework_usage(details: DataFrame) -> DataFrame:
+    """(framework, projects, packages): projects that target each framework and the different packages that these use."""
+    each = details.select("path", F.explode("frameworks").alias("framework"), "packages")
+    counted = each.groupBy("framework").agg(F.countDistinct("path").alias("projects"))
+    used = each.select("framework", F.explode("packages").alias("p")).groupBy("framework").agg(F.countDistinct("p.name").alias("packages"))
+    return counted.join(used, "framework", "left").select("framework", "projects", F.coalesce("packages", F.lit(0)).alias("packages"))
+
+
+def package_conflicts(details: DataFrame) -> DataFrame:
+    """(package, versions, projects): packages that projects take in different versions, the versions in order of text."""
+    each = details.select("path", F.explode("packages").alias("p")).filter("p.version is not null")
+    found = each.groupBy(F.col("p.name").alias("package")).agg(F.array_sort(F.collect_set("p.version")).alias("versions"), F.countDistinct("path").alias("projects"))
+    return found.filter(F.size("versions") > 1)
+
+
 def solution_projects(solutions: DataFrame) -> DataFrame:
     """(path, name, project) of the project lines of solution files (path, text)."""
     line = r'Project\("[^"]*"\)\s*=\s*"([^"]+)",\s*"([^"]+)"'

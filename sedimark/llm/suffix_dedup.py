@@ -121,28 +121,29 @@ def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     """Suffixes sorted by at least their first ``length`` bytes, and the sorted first eight bytes of each."""
     n = len(text)
     words = _words(text)
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words, kind="stable").astype(np.int32)
     first = words[order]
+    del words
     start = np.concatenate(([True], first[1:] != first[:-1]))
-    order = order.astype(np.int32)
     rank = np.empty(n, np.int32)
-    rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+    rank[order] = np.maximum.accumulate(np.where(start, np.arange(n, dtype=np.int32), np.int32(0)))
     h = FIRST
     while h < length:
         single = start & np.concatenate((start[1:], [True]))
-        places = np.flatnonzero(~single)  # places of the order that still share their rank with another
+        places = np.flatnonzero(~single).astype(np.int32)  # places of the order that still share their rank with another
         if not len(places):
             break
         at = order[places]
         later = at + h
         second = np.where(later < n, rank[np.minimum(later, n - 1)] + 1, 0)
         key = rank[at].astype(np.int64) * (n + 1) + second
-        by = np.argsort(key, kind="stable")
+        del later, second
+        by = np.argsort(key, kind="stable").astype(np.int32)
         order[places] = at[by]
         key = key[by]
         fresh = np.concatenate(([True], key[1:] != key[:-1]))
         start[places] = fresh
-        rank[at[by]] = np.maximum.accumulate(np.where(fresh, places, 0))
+        rank[at[by]] = np.maximum.accumulate(np.where(fresh, places, np.int32(0)))
         h *= 2
     return order, first
 
@@ -160,24 +161,28 @@ def shared_to_next(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     # Prefix lengths under eight are read off the sorted first words, the rest by expansion from there.
     known = np.ones(n + 1, bool)
     known[1:n] = first[1:] != first[:-1]
-    bounds = np.flatnonzero(known)
+    del first
+    bounds = np.flatnonzero(known).astype(np.int32)
     left, right = bounds[:-1], bounds[1:] - 1
     for _ in range(FIRST, length):
         if not len(left):
             break
         sizes = right - left + 1
         total = int(sizes.sum())
-        which = np.repeat(np.arange(len(left)), sizes)
-        places = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(left, sizes)
-        moved, byte = back[places], before[places]
+        # Numbers of intervals and bytes as one: 32 bits hold 2 ** 23 intervals, and a task's text has fewer places.
+        tag = np.repeat(np.arange(len(left), dtype=np.int32 if len(left) < 1 << 23 else np.int64), sizes) * 256
+        places = np.arange(total, dtype=np.int32) + np.repeat(left - (np.cumsum(sizes, dtype=np.int32) - sizes), sizes)
+        moved = back[places]
+        tag += before[places]
+        del places
         if total > n // 16:
-            owner = np.full(n, -1, np.int64)
-            owner[moved] = which * 256 + byte
-            hit = np.flatnonzero(owner >= 0)
+            owner = np.full(n, -1, tag.dtype)
+            owner[moved] = tag
+            hit = np.flatnonzero(owner >= 0).astype(np.int32)
             tag = owner[hit]
         else:
             by = np.argsort(moved, kind="stable")
-            hit, tag = moved[by], (which * 256 + byte)[by]
+            hit, tag = moved[by], tag[by]
         edge = np.flatnonzero((tag[1:] != tag[:-1]) | (hit[1:] != hit[:-1] + 1))
         low, high = hit[np.concatenate(([0], edge + 1))], hit[np.concatenate((edge, [len(hit) - 1]))]
         new = ~known[high + 1]

@@ -38,6 +38,8 @@ MAX_TRAIN_ROWS = 16_000
 MIN_WEIGHT = 4.0
 MIN_ROWS = 4
 MIN_PREFIX, MAX_PREFIX = 3, 8
+#: Terms that a task counts before it hands on its counts; they are summed afterwards, so only its memory depends on it.
+FLUSH = 100_000
 MAX_ENTRIES = 20_000
 CENTRE, SLOPE = 0.16, 14.0
 
@@ -131,6 +133,13 @@ class ToxicityScorer:
         return 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, self.slope * (raw - self.centre))))), len(found)
 
 
+def _counts(seen: dict[int, Counter], name: str, more: dict[str, tuple[int, int]] | None = None) -> pa.RecordBatch:
+    """Rows (name, toxic, clean) of what a task has counted so far."""
+    table = {t: (seen[1][t], seen[0][t]) for t in seen[0].keys() | seen[1].keys()} | (more or {})
+    columns = [pa.array(table, pa.string()), *(pa.array((n[k] for n in table.values()), pa.int64()) for k in (0, 1))]
+    return pa.RecordBatch.from_arrays(columns, [name, "toxic", "clean"])
+
+
 def fit_lexicon(
     docs: DataFrame,
     labels: DataFrame,
@@ -147,18 +156,20 @@ def fit_lexicon(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows = {0: Counter(), 1: Counter()}, Counter()
+
+        def out() -> pa.RecordBatch:
+            return _counts(seen, "term", {"": (rows[1], rows[0])})
+
         for b in batches:
-            for text, mark in zip(b["text"].to_pylist(), b["label"].to_pylist()):
-                words = set(_WORD.findall(fold(text)))
+            for text, mark in zip(b["text"], b["label"].to_pylist()):
+                words = set(_WORD.findall(fold(text.as_py())))
                 starts = {w[:n] + "*" for w in words for n in range(MIN_PREFIX, min(len(w), MAX_PREFIX) + 1)}
                 seen[int(mark)].update(words | starts)
                 rows[int(mark)] += 1
-        terms = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(["", *terms], pa.string())]
-            + [pa.array([rows[k], *[seen[k][t] for t in terms]], pa.int64()) for k in (1, 0)],
-            ["term", "toxic", "clean"],
-        )
+                if len(seen[0]) + len(seen[1]) >= FLUSH:
+                    yield out()
+                    seen, rows = {0: Counter(), 1: Counter()}, Counter()
+        yield out()
 
     counted = sample.mapInArrow(count, "term string, toxic long, clean long")
     terms = staged(counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-terms")
@@ -183,12 +194,12 @@ def fit_lexicon(
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
         for b in batches:
-            for text, mark in zip(b["text"].to_pylist(), b["label"].to_pylist()):
-                seen[int(mark)].update(scorer.phrases(fold(text)))
-        found = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.string())] + [pa.array([seen[k][t] for t in found], pa.int64()) for k in (1, 0)], ["phrase", "toxic", "clean"]
-        )
+            for text, mark in zip(b["text"], b["label"].to_pylist()):
+                seen[int(mark)].update(scorer.phrases(fold(text.as_py())))
+                if len(seen[0]) + len(seen[1]) >= FLUSH:
+                    yield _counts(seen, "phrase")
+                    seen = {0: Counter(), 1: Counter()}
+        yield _counts(seen, "phrase")
 
     phrases = sample.mapInArrow(context, "phrase string, toxic long, clean long")
     phrases = phrases.groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))

@@ -189,13 +189,13 @@ def approximate_path_length(spark, sf):
     return graph.approximate_path_length(_edges(spark, sf)).withColumn("mean_length", F.round("mean_length", 6))
 
 
-# Distinct users of every day are kept as sketches; one day is counted anew and takes the place of its old sketch before all are united.
+# Distinct users of every day are kept as bitmaps; one day is counted anew and takes the place of its old bitmaps before all are united.
 @query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def distinct_users_merged(spark, sf):
     e = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
-    kept = index.distinct_sketches(e, ["event_type", "day"], "user_id")
-    again = index.distinct_sketches(e.filter("dayofmonth(day) = 3"), ["event_type", "day"], "user_id")
-    return index.merged_sketches(index.replace_sketches(kept, again, ["event_type", "day"]), ["event_type"], "users")
+    kept = index.distinct_bitmaps(e, ["event_type", "day"], "user_id")
+    again = index.distinct_bitmaps(e.filter("dayofmonth(day) = 3"), ["event_type", "day"], "user_id")
+    return index.merged_bitmaps(index.replace_sketches(kept, again, ["event_type", "day"]), ["event_type"], "users")
 
 
 # ---------------------------------------------------------------- nodes without callers or callees

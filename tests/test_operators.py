@@ -208,3 +208,12 @@ def test_file_stream_resumes(spark, tmp_path):
 def test_parse_steps(spark, pattern):
     f = spark.createDataFrame([(1, "m", pattern)], "seq int, name string, text string")
     assert found(evolution.parse_steps(f), "op", "table_name") == [("CreateTable", "T")]
+
+
+def test_merged_bitmaps_are_exact_beyond_what_sketches_are(spark):
+    e = spark.range(60_000).selectExpr("id % 4 as file", "case when id % 7 = 0 then null else id * 5 - 70000 end as value")
+    again = index.distinct_bitmaps(e.filter("file = 2 and value < 10000"), ["file"], "value")
+    kept = index.replace_sketches(index.distinct_bitmaps(e, ["file"], "value"), again, ["file"])
+    left = [k for k in range(60_000) if k % 7 and (k % 4 != 2 or k * 5 - 70000 < 10000)]
+    assert index.merged_bitmaps(kept, [], "n").collect()[0]["n"] == len(left)
+    assert {r["file"]: r["n"] for r in index.merged_bitmaps(kept, ["file"], "n").collect()} == {f: sum(k % 4 == f for k in left) for f in range(4)}

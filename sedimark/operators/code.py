@@ -26,8 +26,12 @@ NOT_TYPES = "new return throw await else in is as yield goto case not and or do"
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """(path, pos, token, line, depth, parens): the tokens of every file without comments, with the braces and parentheses open before each."""
-    cut = files.filter("text is not null").select("path", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
+    """(path, pos, token, line, depth, parens): the tokens of every file without comments, with the braces and parentheses open before each.
+
+    Texts are dealt by path and sorted before they are cut, so that windows over the tokens of a file neither move them nor find them out of order.
+    """
+    dealt = files.filter("text is not null").select("path", "text").repartition("path").sortWithinPartitions("path")
+    cut = dealt.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
     before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
 
     def open_before(a: str, b: str) -> Column:
@@ -38,17 +42,50 @@ def tokens(files: DataFrame) -> DataFrame:
     return placed.filter(~F.col("token").rlike(r"^(\n|//|/\*)"))
 
 
-def _blocks_and_names(toks: DataFrame) -> DataFrame:
-    """Tokens with their neighbours, and for parentheses and braces where they close."""
+def _candidates(toks: DataFrame) -> DataFrame:
+    """What may be a declaration, with neighbours, and what bounds one: braces, ends of statements and lists, names of namespaces.
+
+    All other tokens end here. ``commas`` counts the commas of outer lists so far, ``space`` says that a namespace's name is still open, ``member``
+    that the token can name a member. What a token is by itself is told before the windows, so that the code between windows stays small.
+    """
+    word = F.col("token").rlike(r"^[\p{L}_]")
+    toks = toks.withColumns({
+        "word": word, "nameable": word & (F.col("parens") == 0) & ~F.col("token").isin(NOT_NAMES + NOT_TYPES + list(TYPES)),
+        "typing": (word | F.col("token").isin(">", "]", "?")) & ~F.col("token").isin(NOT_TYPES),
+    })
     in_file = Window.partitionBy("path").orderBy("pos")
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    comma = F.count_if((F.col("token") == ",") & (F.col("parens") == 1)).over(before)
+    opened = F.last(F.when(F.col("token").isin("namespace", "{", ";"), F.col("token")), ignorenulls=True).over(before)
     near = {f"next{k}": F.lead("token", k).over(in_file) for k in (1, 2)} | {f"last{k}": F.lag("token", k).over(in_file) for k in (1, 2)}
-    toks = toks.withColumns(near)
-    closes = F.when(F.col("token").isin("}", ")"), 1).otherwise(0)
-    for sign, level, out in (("{}", "depth", "block"), ("()", "parens", "list")):
-        own = F.when(F.col("token").isin(*sign), F.col(level) - F.when(F.col("token") == sign[1], 1).otherwise(0))
-        pair = Window.partitionBy("path", F.coalesce(own, F.lit(-1) - F.col("pos"))).orderBy("pos")
-        toks = toks.withColumns({f"{out}_end": F.when(F.col("token") == sign[0], F.lead("pos").over(pair)), f"{out}_end_line": F.when(F.col("token") == sign[0], F.lead("line").over(pair)), f"{out}_after": F.when(F.col("token") == sign[0], F.lead("next1").over(pair))})
-    return toks.withColumn("closes", closes)
+    t = toks.withColumns(near | {"commas": comma, "opened": opened, "typed": F.lag("typing").over(in_file)})
+    token, parens = F.col("token"), F.col("parens")
+    bounds = token.isin("{", "}") | (token == ";") & (parens == 0) | (token == ")") & (parens == 1)
+    space = F.coalesce(F.col("opened") == "namespace", F.lit(False)) | (token == "namespace")
+    member = F.col("nameable") & F.coalesce("typed", F.lit(False)) & F.coalesce(F.col("next1").isin("(", "{", "=>", ";", "="), F.lit(False))
+    kept = t.filter(bounds | space | member | F.col("word") & F.col("last1").isin(*TYPES))
+    return kept.select("path", "pos", "token", "line", "depth", "parens", "next1", "next2", "last1", "last2", "word", "commas", space.alias("space"), member.alias("member"))
+
+
+def _form(t: DataFrame) -> DataFrame:
+    """Candidates with what each declares by its neighbours, if anything (``form``)."""
+    is_type = F.col("word") & F.col("last1").isin(*TYPES) & ~F.coalesce(F.col("last2").isin(".", ":", ","), F.lit(False)) & ~F.col("token").isin(*TYPES)
+    accessors = (F.col("next1") == "{") & F.col("next2").isin("get", "set", "init")
+    form = (
+        F.when((F.col("token") == "namespace") & ~F.coalesce(F.col("last1").isin(".", "@"), F.lit(False)), "namespace")
+        .when(is_type, F.col("last1"))
+        .when(F.col("member") & (F.col("next1") == "("), "method")
+        .when(F.col("member") & (accessors | (F.col("next1") == "=>") & (F.col("last1") != ",")), "property")
+        .when(F.col("member") & F.col("next1").isin(";", "="), "field")
+    )
+    return t.withColumn("form", form)
+
+
+def _space_names(t: DataFrame) -> DataFrame:
+    """(path, pos, space_name) of namespaces: the tokens up to a brace or a semicolon, one where neither comes within 32."""
+    ahead = t.filter("space").withColumn("ahead", F.collect_list("token").over(Window.partitionBy("path").orderBy("pos").rowsBetween(1, 32))).filter("form = 'namespace'")
+    stop = F.least(*(F.when(F.array_position("ahead", s) > 0, F.array_position("ahead", s)) for s in ("{", ";")))
+    return ahead.select("path", "pos", F.array_join(F.slice("ahead", 1, F.greatest(F.coalesce(stop, F.lit(2)) - 1, F.lit(1))), "").alias("space_name"))
 
 
 def declarations(files: DataFrame) -> DataFrame:
@@ -57,26 +94,19 @@ def declarations(files: DataFrame) -> DataFrame:
     Kinds are namespace, type keywords, method, constructor, property and field. The container is the innermost declaration whose braces
     hold it; parameters are counted by the commas of their list, generic arguments included.
     """
-    t = staged(_blocks_and_names(tokens(files)), "code-tokens")
-    word = rf"^{WORD}$"
+    t = _form(staged(_candidates(tokens(files)), "code-tokens"))
     in_file = Window.partitionBy("path").orderBy("pos")
-    list_after, list_end = F.lead("list_after").over(in_file), F.lead("list_end").over(in_file)
-    ahead = F.collect_list("token").over(in_file.rowsBetween(1, 32))
-    typed = F.col("last1").rlike(rf"^({WORD}|>|\]|\?)$") & ~F.col("last1").isin(NOT_TYPES)
-    named = F.col("token").rlike(word) & ~F.col("token").isin(NOT_NAMES + NOT_TYPES + list(TYPES)) & (F.col("parens") == 0)
-    t = t.withColumns({"list_after1": list_after, "list_end1": list_end, "ahead": F.when(F.col("token") == "namespace", ahead)})
-    is_type = F.col("last1").isin(*TYPES) & ~F.coalesce(F.col("last2").isin(".", ":", ","), F.lit(False)) & F.col("token").rlike(word) & ~F.col("token").isin(*TYPES)
-    calls = F.col("next1") == "("
-    kind = (
-        F.when((F.col("token") == "namespace") & ~F.coalesce(F.col("last1").isin(".", "@"), F.lit(False)), "namespace")
-        .when(is_type, F.col("last1"))
-        .when(named & typed & calls & F.col("list_after1").isin("{", "=>", ";", ":", "where"), "method")
-        .when(named & typed & (((F.col("next1") == "{") & F.col("next2").isin("get", "set", "init")) | ((F.col("next1") == "=>") & ~F.coalesce(F.col("last1").isin(","), F.lit(False)))), "property")
-        .when(named & typed & F.col("next1").isin(";", "="), "field")
-    )
-    stop = F.least(*(F.when(F.array_position("ahead", s) > 0, F.array_position("ahead", s)) for s in ("{", ";")))
-    name = F.when(kind == "namespace", F.array_join(F.slice("ahead", 1, F.greatest(F.coalesce(stop, F.lit(2)) - 1, F.lit(1))), "")).otherwise(F.col("token"))
-    t = t.withColumns({"kind": kind, "name": F.when(kind.isNotNull(), name)})
+    # The list after a name is an outer one; it ends with the first sign that closes one.
+    shut = F.when((F.col("token") == ")") & (F.col("parens") == 1), F.struct("next1", "commas"))
+    closing = F.last(shut, ignorenulls=True).over(Window.partitionBy("path").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1))
+    names = _space_names(t).select("path", "pos", "space_name", F.lit(True).alias("named"))
+    t = t.withColumn("closing", F.when(F.col("form") == "method", closing)).filter("form is not null or token in ('{', '}') or token = ';' and parens = 0")
+    t = t.unionByName(names, allowMissingColumns=True)
+    t = t.withColumn("space_name", F.lag("space_name").over(Window.partitionBy("path").orderBy("pos", F.col("named").isNull()))).filter("named is null")
+    kind = F.when((F.col("form") != "method") | F.col("closing.next1").isin("{", "=>", ";", ":", "where"), F.col("form"))
+    name = F.when(kind == "namespace", F.col("space_name")).otherwise(F.col("token"))
+    n_parameters = F.when(kind == "method", F.when(F.col("next2") == ")", 0).otherwise(F.col("closing.commas") - F.col("commas") + 1)).cast("int")
+    t = t.withColumns({"kind": kind, "name": F.when(kind.isNotNull(), name), "parameters": n_parameters})
     # The declaration that a brace opens: the last one of its level with no end of a statement or block between.
     own = F.when(F.col("kind").isNotNull() & (F.col("kind") != "field"), F.struct(F.col("pos").alias("pos"), F.col("kind").alias("kind"), F.col("name").alias("name"), F.lit(True).alias("real")))
     none = F.struct(F.lit(-1).alias("pos"), F.lit("").alias("kind"), F.lit("").alias("name"), F.lit(False).alias("real"))
@@ -85,9 +115,13 @@ def declarations(files: DataFrame) -> DataFrame:
     at_level = Window.partitionBy("path", "level").orderBy("pos")
     t = t.withColumns({"level": level, "mark": mark})
     opener = F.when(F.col("token") == "{", F.last("mark", ignorenulls=True).over(at_level.rowsBetween(Window.unboundedPreceding, -1)))
-    t = staged(t.withColumn("opener", opener).filter("kind is not null or token in ('{', '}')").select("path", "pos", "token", "kind", "name", "line", "depth", "list_end1", "block_end", "block_end_line", "opener"), "code-blocks")
+    braces = t.withColumn("opener", opener).filter("kind is not null or token in ('{', '}')")
+    # Braces of one level open and close in turn; declarations stand apart.
+    pair = Window.partitionBy("path", "level", F.col("token").isin("{", "}")).orderBy("pos")
+    braces = braces.withColumns({"block_end": F.when(F.col("token") == "{", F.lead("pos").over(pair)), "block_end_line": F.when(F.col("token") == "{", F.lead("line").over(pair))})
+    t = staged(braces.select("path", "pos", "token", "kind", "name", "line", "depth", "parameters", "block_end", "block_end_line", "opener"), "code-blocks")
     blocks = t.filter("token = '{'").select("path", "pos", (F.col("depth") + 1).alias("level"), F.col("opener").alias("holder"))
-    inner = t.filter("kind is not null").select("path", "pos", F.col("depth").alias("level"), "kind", "name", "line", "list_end1")
+    inner = t.filter("kind is not null").select("path", "pos", F.col("depth").alias("level"), "kind", "name", "line", "parameters")
     held = blocks.unionByName(inner, allowMissingColumns=True).withColumn("held", F.last("holder", ignorenulls=True).over(at_level.rowsBetween(Window.unboundedPreceding, -1))).filter("kind is not null")
     ends = t.filter("token = '{' and opener.real").select("path", F.col("opener.pos").alias("pos"), "block_end", "block_end_line").groupBy("path", "pos").agg(F.min_by("block_end_line", "block_end").alias("end_line"), F.min("block_end").alias("end_pos"))
     found = held.join(ends, ["path", "pos"], "left")
@@ -99,23 +133,11 @@ def declarations(files: DataFrame) -> DataFrame:
     in_type = F.col("container_kind").isin(*TYPES)
     found = found.filter((F.col("kind") != "field") | in_type)
     made = F.when((F.col("kind") == "method") & in_type & (F.col("name") == F.col("container")), "constructor").otherwise(F.col("kind"))
-    n_commas = _parameters(files, found)
-    return found.withColumn("kind", made).join(n_commas, ["path", "pos"], "left").select(
+    return found.withColumn("kind", made).select(
         "path", "pos", "kind", "name", "line", F.coalesce("end_line", "line").alias("end_line"), "parameters", "container", "container_kind", "namespace"
     )
 
 
-def _parameters(files: DataFrame, found: DataFrame) -> DataFrame:
-    """(path, pos, parameters) of methods: parts of the list after the name between its own commas."""
-    lists = found.filter("kind in ('method', 'constructor')").select("path", "pos", F.col("list_end1").alias("until"))
-    marked = tokens(files).select("path", "pos", "token", "parens").unionByName(lists.withColumn("method", F.col("pos")), allowMissingColumns=True)
-    last = F.last(F.when(F.col("method").isNotNull(), F.struct("method", "until")), ignorenulls=True).over(Window.partitionBy("path").orderBy("pos", F.col("method").isNull()))
-    inside = marked.withColumn("own", last).filter("method is null and pos > own.method + 1 and pos < own.until")
-    commas = F.count_if((F.col("token") == ",") & (F.col("parens") == 1))
-    counted = inside.groupBy("path", F.col("own.method").alias("pos")).agg((commas + 1).cast("int").alias("n"))
-    return lists.join(counted, ["path", "pos"], "left").select("path", "pos", F.coalesce("n", F.lit(0)).alias("parameters"))
-
-
 # Frames of the fold below: plain braces, else, if, loops and switch, try and its parts, do; ten more for a statement without braces.
 _PLAIN, _ELSE, _IF, _LOOP, _TRY, _DO = range(6)
 _BARE, _PAREN = 10, 100

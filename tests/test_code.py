@@ -270,3 +270,12 @@ def test_operation_lives_resume_from_the_checkpoint(spark, tmp_path):
     assert run() == {(2, 2, 0, "failed")}
     put([(1, "2024-01-01 10:40:00", "go"), (1, "2024-01-01 10:41:00", "done"), (4, "2024-01-01 12:00:00", "start")])
     assert run() == {(2, 2, 0, "failed"), (1, 4, 1_800_000, "finished"), (3, 1, 0, "abandoned")}
+
+
+def test_tokens_that_declare_or_bound_nothing_end_before_the_scopes(spark):
+    body = "if (a > 1) { x = a + b * c - d / e; }\n" * 200
+    f = files(spark, "namespace A.B { class C { void M(int q) {\n" + body + "} } }")
+    assert code._candidates(code.tokens(f)).count() < code.tokens(f).count() / 3
+    assert {(r["kind"], r["name"], r["end_line"], r["parameters"]) for r in code.declarations(f).collect()} == {
+        ("namespace", "A.B", 202, None), ("class", "C", 202, None), ("method", "M", 202, 1),
+    }

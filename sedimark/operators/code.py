@@ -141,6 +141,8 @@ def declarations(files: DataFrame) -> DataFrame:
 # Frames of the fold below: plain braces, else, if, loops and switch, try and its parts, do; ten more for a statement without braces.
 _PLAIN, _ELSE, _IF, _LOOP, _TRY, _DO = range(6)
 _BARE, _PAREN = 10, 100
+#: The tokens that the fold's state depends on; what stands between them matters only as what follows one.
+FOLDED = "{ } ( ) ; if else for foreach switch while do try catch finally case && ||".split()
 
 
 def nesting_fold(words: Column) -> Column:
@@ -150,6 +152,7 @@ def nesting_fold(words: Column) -> Column:
     ``try``; the statement after ``else`` is one deeper. The cyclomatic number counts branches, loops, cases, handlers, ``&&`` and ``||``.
     """
     steps = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.struct(a.alias("t"), b.alias("next")))
+    steps = F.filter(steps, lambda x: x["t"].isin(FOLDED))
     start = F.struct(
         F.array().cast("array<int>").alias("stack"), F.lit(0).alias("pending"), F.lit(0).alias("parens"), F.lit(False).alias("after_do"),
         F.lit(0).alias("cognitive"), F.lit(0).alias("nesting"), F.lit(1).alias("cyclomatic"),

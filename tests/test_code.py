@@ -279,3 +279,9 @@ def test_tokens_that_declare_or_bound_nothing_end_before_the_scopes(spark):
     assert {(r["kind"], r["name"], r["end_line"], r["parameters"]) for r in code.declarations(f).collect()} == {
         ("namespace", "A.B", 202, None), ("class", "C", 202, None), ("method", "M", 202, 1),
     }
+
+
+def test_the_fold_of_a_method_skips_tokens_without_effect(spark):
+    words = "if ( a ) b ( ) ; else c ; x . y = z ; while ( q && r ) { s ; }".split()
+    df = spark.createDataFrame([(words,)], "words array<string>").select(code.nesting_fold(F.col("words")).alias("m"))
+    assert tuple(df.collect()[0]["m"]) == (2, 1, 4) and not {"a", "x", ".", "="} & set(code.FOLDED)

@@ -237,15 +237,20 @@ def text_references(files: DataFrame, names: DataFrame) -> DataFrame:
     """(name, path, line_no): lines that refer to one of ``names`` (name) as a whole word in a context that a reference has.
 
     The words of all lines are cut out once with what stands beside them and joined with all names, so the work does not grow with
-    names times patterns. Comment lines and ``using`` and ``namespace`` lines do not count. A context is a following space, ``;`` or ``=``; a
+    names times patterns; files are dealt by path first, however few parts they come in. Comment lines and ``using`` and ``namespace`` lines do not count. A context is a following space, ``;`` or ``=``; a
     space before and one of ``{[(.=,`` after; or ``.``, ``: `` or ``, `` before.
     """
-    lines = files.filter("text is not null").select("path", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
+    dealt = files.filter("text is not null").select("path", "text").repartition("path")
+    lines = dealt.select("path", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
     lines = lines.select("path", (F.col("no") + 1).alias("line_no"), F.trim("raw").alias("line")).filter(~F.col("line").rlike("^(//|using |namespace )"))
     parts = F.regexp_extract_all("line", F.lit(rf"{WORD}|[0-9][\p{{L}}\p{{Nd}}_]*+|[^\p{{L}}\p{{Nd}}_]++"), F.lit(0))
     cut = lines.select("path", "line_no", parts.alias("parts"))
     beside = F.transform("parts", lambda w, i: F.struct(w.alias("name"), F.when(i > 0, F.right(F.get("parts", i - 1), F.lit(2))).otherwise("").alias("left"), F.coalesce(F.left(F.get("parts", i + 1), F.lit(1)), F.lit("")).alias("right")))
-    each = cut.select("path", "line_no", F.explode(beside).alias("w")).select("path", "line_no", "w.name", "w.left", "w.right")
-    left = F.col("left")
-    fits = F.col("right").isin(" ", ";", "=") | left.endswith(" ") & F.col("right").isin(*"{[(.,") | left.endswith(".") | left.isin(": ", ", ")
-    return each.filter(fits).join(names.select("name").distinct(), "name").select("name", "path", "line_no").distinct()
+
+    def fits(w: Column) -> Column:
+        left, right = w["left"], w["right"]
+        return right.isin(" ", ";", "=") | left.endswith(" ") & right.isin(*"{[(.,") | left.endswith(".") | left.isin(": ", ", ")
+
+    met = F.array_distinct(F.transform(F.filter(beside, fits), lambda w: w["name"]))
+    each = cut.select("path", "line_no", F.explode(met).alias("name"))
+    return each.join(names.select("name").distinct(), "name").select("name", "path", "line_no").distinct()

@@ -285,3 +285,12 @@ def test_the_fold_of_a_method_skips_tokens_without_effect(spark):
     words = "if ( a ) b ( ) ; else c ; x . y = z ; while ( q && r ) { s ; }".split()
     df = spark.createDataFrame([(words,)], "words array<string>").select(code.nesting_fold(F.col("words")).alias("m"))
     assert tuple(df.collect()[0]["m"]) == (2, 1, 4) and not {"a", "x", ".", "="} & set(code.FOLDED)
+
+
+def test_text_references_deal_files_out_however_few_parts_they_come_in(spark):
+    f = spark.createDataFrame([(f"f{k}", f"x = new Cart{k} (1); 1st ; Cart{k}.Go, Cart{k};") for k in range(40)], "path string, text string").coalesce(1)
+    names = spark.createDataFrame([("Cart7",), ("1st",), ("Go",)], "name string")
+    found = code.text_references(f, names)
+    assert "REPARTITION_BY_COL" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["name"], r["path"]) for r in found.collect() if r["name"] != "1st") == [("Cart7", "f7"), *sorted(("Go", f"f{k}") for k in range(40))]
+    assert found.filter("name = '1st'").count() == 40

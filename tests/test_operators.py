@@ -217,3 +217,11 @@ def test_merged_bitmaps_are_exact_beyond_what_sketches_are(spark):
     left = [k for k in range(60_000) if k % 7 and (k % 4 != 2 or k * 5 - 70000 < 10000)]
     assert index.merged_bitmaps(kept, [], "n").collect()[0]["n"] == len(left)
     assert {r["file"]: r["n"] for r in index.merged_bitmaps(kept, ["file"], "n").collect()} == {f: sum(k % 4 == f for k in left) for f in range(4)}
+
+
+def test_two_hop_with_sources_of_many_targets(spark, monkeypatch):
+    pairs = [(a, b) for a in range(12) for b in range(12) if (a * 7 + b * 3) % 5 < 2] + [(3, b) for b in range(12)] + [(1, 1)]
+    kept = {(a, v, b) for a, v in pairs for w, b in pairs if w == v and a != b and (a, b) not in set(pairs)}
+    for chunk in (1024, 4, 1):
+        monkeypatch.setattr(graph, "CHUNK", chunk)
+        assert {tuple(r) for r in graph.two_hop(edges(spark, pairs).union(edges(spark, [(None, 2), (2, None)]))).collect()} == kept

@@ -7,6 +7,7 @@ lineage stays short. Frontiers carry nodes (or paths where paths are asked for),
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,37 +99,42 @@ def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     left = staged(_directed(edges, "forward").filter("src <> dst"), "scc")
     done = None
+    n = left.count()
     for _ in range(max_rounds):
-        while True:
-            n = left.count()
+        while n:
             ends = left.select(F.col("src").alias("node")).distinct().intersect(left.select(F.col("dst").alias("node")).distinct())
             left = left.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
             left = staged(left.select("src", "dst"), "scc")
-            if left.count() == n:
+            before, n = n, left.count()
+            if n == before:
                 break
         if n == 0:
             break
         colour = staged(left.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")), "scc")
         while True:
             pushed = left.join(colour, left["src"] == colour["node"]).groupBy("dst").agg(F.max("colour").alias("c"))
-            new = colour.join(pushed, colour["node"] == pushed["dst"], "left").select("node", F.greatest("colour", "c").alias("colour"))
+            new = colour.join(pushed, colour["node"] == pushed["dst"], "left").select("node", F.greatest("colour", "c").alias("colour"), (F.col("c") > F.col("colour")).alias("grown"))
             new = staged(new, "scc")
-            if new.join(colour, ["node", "colour"], "left_anti").isEmpty():
+            colour = new.drop("grown")
+            if new.filter("grown").isEmpty():
                 break
-            colour = new
         a, b = (colour.select(F.col("node").alias(e), F.col("colour").alias(f"{e}_colour")) for e in ("src", "dst"))
         same = staged(left.join(a, "src").join(b, "dst").filter("src_colour = dst_colour").select("src", "dst"), "scc")
         roots = colour.filter("node = colour").select("node", F.col("node").alias("root"))
         member = frontier = staged(roots, "scc")
-        while True:
+        for k in count(1):
             back = frontier.join(same, frontier["node"] == same["dst"]).select(F.col("src").alias("node"), "root").distinct()
             frontier = staged(back.join(member, ["node", "root"], "left_anti"), "scc")
             if frontier.isEmpty():
                 break
-            member = staged(member.unionByName(frontier), "scc")
+            member = member.unionByName(frontier)
+            if k % SEEN_ROUNDS == 0:
+                member = staged(member, "scc")
+        member = staged(member, "scc")
         done = member if done is None else done.unionByName(member)
         left = left.join(member.select(F.col("node").alias("src")), "src", "left_anti").join(member.select(F.col("node").alias("dst")), "dst", "left_anti")
         left = staged(left.select("src", "dst"), "scc")
+        n = left.count()
     else:
         raise RuntimeError("strong components did not settle")
     if done is None:

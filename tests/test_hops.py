@@ -30,6 +30,15 @@ def test_sketches_do_not_move_along_every_edge(spark):
     assert moved < 25_000_000
 
 
+def test_bits_move_within_components(spark):
+    rng = random.Random(5)
+    pairs = {(1000 * c + rng.randrange(80), 1000 * c + rng.randrange(80)) for c in range(40) for _ in range(500)}
+    e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    row, moved = shuffled(spark, lambda: graph.mean_path_length(e, e.select(F.col("src").alias("node"))).collect()[0])
+    assert (row["pairs"], round(row["mean_length"], 6), row["longest"]) == path_lengths(pairs)
+    assert moved < 2_500_000
+
+
 def test_components_larger_than_a_block(spark):
     block = 8
     rng = random.Random(6)

@@ -72,20 +72,37 @@ def shortest_paths(edges: DataFrame, start: DataFrame, end: DataFrame, max_depth
     return found.join(found.agg(F.min("steps").alias("steps")), "steps", "left_semi")
 
 
+def _chunked(edges: DataFrame) -> DataFrame:
+    """(src, chunk, outs): the targets of each node by arrays of up to ``CHUNK``, counted from 0."""
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    return edges.withColumn("chunk", F.floor((place - 1) / CHUNK)).groupBy("src", "chunk").agg(F.collect_list("dst").alias("outs"))
+
+
 def cycles(edges: DataFrame, max_length: int = 3) -> DataFrame:
-    """(path, length): cycles of up to ``max_length`` nodes, each once, beginning at its smallest node."""
-    step = staged(_directed(edges, "forward"), "cycle-edges")
-    loops = step.filter("src = dst").select(F.array("src").alias("path"), F.lit(1).alias("length"))
+    """(path, length): cycles of up to ``max_length`` nodes, each once, beginning at its smallest node.
+
+    Paths are listed up to the last node but one; last nodes are those that the path's end points at and that point at its
+    beginning, found where the two arrays of neighbours meet, so longest paths that close no cycle are never rows.
+    """
+    step = staged(_directed(edges, "forward").filter("src is not null and dst is not null"), "cycle-edges")
+    out = step.filter("src = dst").select(F.array("src").alias("path"), F.lit(1).alias("length"))
     frontier = step.filter("src < dst").select(F.array("src", "dst").alias("path"))
-    out = loops
-    for length in range(2, max_length + 1):
-        frontier = staged(frontier, "cycles")
-        closing = frontier.join(step, (F.element_at("path", -1) == step["src"]) & (F.col("path")[0] == step["dst"]), "left_semi")
-        out = out.unionByName(closing.select("path", F.lit(length).alias("length")))
+    if max_length > 1:
+        both = step.filter("src < dst").join(step.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
+        out = out.unionByName(both.select(F.array("src", "dst").alias("path"), F.lit(2).alias("length")))
+    if max_length > 2:
+        outs = staged(_chunked(step), "cycles").select(F.col("src").alias("last"), "outs")
+        ins = _chunked(step.filter("src > dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        ins = staged(ins, "cycles").select(F.col("src").alias("first"), F.col("outs").alias("ins"))
+    for length in range(3, max_length + 1):
+        open_ = frontier.select("path", F.col("path")[0].alias("first"), F.element_at("path", -1).alias("last"))
+        met = open_.join(ins, "first").join(outs, "last")
+        closing = met.select("path", F.explode(F.array_except(F.array_intersect("ins", "outs"), "path")).alias("dst"))
+        out = out.unionByName(closing.select(F.concat("path", F.array("dst")).alias("path"), F.lit(length).alias("length")))
         if length < max_length:
             longer = frontier.join(step, F.element_at("path", -1) == step["src"])
             longer = longer.filter((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst")))
-            frontier = longer.select(F.concat("path", F.array("dst")).alias("path"))
+            frontier = staged(longer.select(F.concat("path", F.array("dst")).alias("path")), "cycles")
     return out
 
 
@@ -279,9 +296,7 @@ def two_hop(edges: DataFrame) -> DataFrame:
     sources with more targets than that compare way by way.
     """
     e = staged(_directed(edges, "forward").filter("src is not null and dst is not null"), "two-hop")
-    place = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
-    chunks = e.withColumn("chunk", F.floor((place - 1) / CHUNK)).groupBy("src", "chunk").agg(F.collect_list("dst").alias("outs"))
-    chunks = staged(chunks, "two-hop")
+    chunks = staged(_chunked(e), "two-hop")
     own = chunks.groupBy("src").agg(F.max("chunk").alias("last"), F.first("outs").alias("direct")).filter("last = 0").select("src", "direct")
     outs, first = chunks.select(F.col("src").alias("via"), "outs"), e.select("src", F.col("dst").alias("via"))
     ways, rest = (first.join(own, "src", how).join(outs, "via") for how in ("left_semi", "left_anti"))

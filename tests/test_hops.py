@@ -1,6 +1,7 @@
 """Path lengths over all pairs: what moves between tasks, and components that are larger than a block."""
 
 import random
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +53,23 @@ def test_components_larger_than_a_block(spark):
     assert dict(hops.sketched(e, block=block)) == pytest.approx(dict(hops.sketched(e)))
     words = e.select(F.concat(F.lit("n"), "src").alias("src"), F.concat(F.lit("n"), "dst").alias("dst"))
     assert hops.reached(words, F.lit(True), block=block) == found
+
+
+def test_cycles_do_not_write_paths_that_close_none(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = {(rng.randrange(12), rng.randrange(12)) for _ in range(60)}
+    nodes = range(12)
+    expected = {(a,) for a in nodes if (a, a) in pairs}
+    for n in (2, 3, 4):
+        expected |= {p for p in permutations(nodes, n) if p[0] == min(p) and all((p[k], p[(k + 1) % n]) in pairs for k in range(n))}
+    e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    for chunk in (2, 1024):
+        monkeypatch.setattr(graph, "CHUNK", chunk)
+        got = sorted((tuple(r["path"]), r["length"]) for r in graph.cycles(e, 4).collect())
+        assert got == sorted((p, len(p)) for p in expected)
+    # Two layers with all edges between: 64 thousand paths of three nodes, no cycle.
+    pairs = [(a, 100 + b) for a in range(40) for b in range(40)] + [(100 + b, 200 + c) for b in range(40) for c in range(40)]
+    rows = []
+    monkeypatch.setattr(graph, "staged", lambda df, *a: rows.append(df.count()) or df)
+    assert graph.cycles(spark.createDataFrame(pairs, "src long, dst long")).count() == 0
+    assert max(rows) <= len(pairs)

@@ -237,7 +237,8 @@ def text_references(files: DataFrame, names: DataFrame) -> DataFrame:
     """(name, path, line_no): lines that refer to one of ``names`` (name) as a whole word in a context that a reference has.
 
     The words of all lines are cut out once with what stands beside them and joined with all names, so the work does not grow with
-    names times patterns; files are dealt by path first, however few parts they come in. Comment lines and ``using`` and ``namespace`` lines do not count. A context is a following space, ``;`` or ``=``; a
+    names times patterns; files are dealt by path first, however few parts they come in, and names meet words by shuffle, as they grow with the
+    files and a broadcast would pass them all through the driver. Comment lines and ``using`` and ``namespace`` lines do not count. A context is a following space, ``;`` or ``=``; a
     space before and one of ``{[(.=,`` after; or ``.``, ``: `` or ``, `` before.
     """
     dealt = files.filter("text is not null").select("path", "text").repartition("path")
@@ -253,4 +254,4 @@ def text_references(files: DataFrame, names: DataFrame) -> DataFrame:
 
     met = F.array_distinct(F.transform(F.filter(beside, fits), lambda w: w["name"]))
     each = cut.select("path", "line_no", F.explode(met).alias("name"))
-    return each.join(names.select("name").distinct(), "name").select("name", "path", "line_no").distinct()
+    return each.join(names.select("name").distinct().hint("merge"), "name").select("name", "path", "line_no").distinct()

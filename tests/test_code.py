@@ -296,6 +296,13 @@ def test_text_references_deal_files_out_however_few_parts_they_come_in(spark):
     assert found.filter("name = '1st'").count() == 40
 
 
+def test_text_references_do_not_pass_names_through_the_driver(spark):
+    f = spark.createDataFrame([(f"f{k}", f"x = new Cart{k} (1);") for k in range(40)], "path string, text string")
+    found = code.text_references(f, spark.createDataFrame([("Cart7",), ("Cart7",), (None,)], "name string"))
+    assert [tuple(r) for r in found.collect()] == [("Cart7", "f7", 1)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_diffs_move_hashes_and_bring_texts_back(spark):
     old, new = files(spark, "a\n\nb " * 3 + "\nold end", "same", "gone\n"), files(spark, "first\n" + "a\n\nb " * 3, "same", None)
     assert [t for c, t in diff._hashed(old, "old").dtypes if t == "string"] == ["string"]  # the path alone

@@ -40,6 +40,17 @@ def test_bits_move_within_components(spark):
     assert moved < 2_500_000
 
 
+def test_sketches_of_whole_components_do_not_move(spark):
+    rng = random.Random(9)
+    pairs = {(rng.randrange(1500), rng.randrange(1500)) for _ in range(9000)} | {(5, k) for k in range(300)} | {(9000, 9001), (9001, 9002)}
+    e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    found, moved = shuffled(spark, lambda: hops.sketched(e))
+    exact, mean, longest = path_lengths(pairs)
+    assert sum(n for _, n in found) == pytest.approx(exact, rel=0.03) and sum(d * n for d, n in found) / sum(n for _, n in found) == pytest.approx(mean, rel=0.03)
+    assert found[-1][0] == longest and dict(hops.sketched(e, 2)) == pytest.approx(dict(found[:2]))
+    assert moved < 1_000_000
+
+
 def test_components_larger_than_a_block(spark):
     block = 8
     rng = random.Random(6)

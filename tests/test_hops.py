@@ -51,6 +51,15 @@ def test_sketches_of_whole_components_do_not_move(spark):
     assert moved < 1_000_000
 
 
+def test_bits_of_whole_components_do_not_move(spark):
+    rng = random.Random(10)
+    pairs = {(3000 * c + rng.randrange(1500), 3000 * c + rng.randrange(1500)) for c in range(2) for _ in range(9000)} | {(3000, 3000 + k) for k in range(300)}
+    e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    row, moved = shuffled(spark, lambda: graph.mean_path_length(e, e.select(F.col("src").alias("node"))).collect()[0])
+    assert (row["pairs"], round(row["mean_length"], 6), row["longest"]) == path_lengths(pairs)
+    assert moved < 1_000_000
+
+
 def test_components_larger_than_a_block(spark):
     block = 8
     rng = random.Random(6)
